@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .minhash_dedup import near_duplicates
+from .quality_knn import fit, held_out, score_quality
 from .sharding import assign_shards, number_slots
 from .source_mix import mix_sources
 
@@ -29,9 +30,16 @@ def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op8_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_quality(docs, fit(docs, table(spark, sf_dir, "labels"), "quality"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op2_source_mix": op2_source_mix,
     "op7_minhash_dedup": op7_minhash_dedup,
+    "op8_quality_knn": op8_quality_knn,
     "op10_jump_sharding": op10_jump_sharding,
 }
 
