@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import find_leaks
 from .minhash_dedup import near_duplicates
 from .quality_knn import fit, held_out, score_quality
 from .sharding import assign_shards, number_slots
@@ -36,7 +37,12 @@ def op8_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_source_mix": op2_source_mix,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_quality_knn": op8_quality_knn,
