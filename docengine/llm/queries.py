@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import find_leaks
+from .matroska import media_digests
 from .minhash_dedup import near_duplicates
 from .quality_knn import fit, held_out, score_quality
 from .sharding import assign_shards, number_slots
 from .source_mix import mix_sources
+from .url_filter import judge_urls
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,9 +43,19 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_source_mix": op2_source_mix,
+    "op5_url_filter": op5_url_filter,
+    "op6_matroska": op6_matroska,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_quality_knn": op8_quality_knn,
     "op10_jump_sharding": op10_jump_sharding,
