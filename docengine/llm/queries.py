@@ -15,6 +15,7 @@ from .quality_knn import fit, held_out, score_quality
 from .secret_scan import RULES, scan_secrets, spans_text
 from .sharding import assign_shards, number_slots
 from .source_mix import mix_sources
+from .token_shards import write_token_shards
 from .url_filter import judge_urls
 
 
@@ -64,6 +65,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "pages"))
 
 
+def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return write_token_shards(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_source_mix": op2_source_mix,
@@ -73,6 +78,7 @@ QUERIES = {
     "op6_matroska": op6_matroska,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_quality_knn": op8_quality_knn,
+    "op9_token_shards": op9_token_shards,
     "op10_jump_sharding": op10_jump_sharding,
 }
 
