@@ -117,7 +117,7 @@ WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^
 s AS (SELECT source, sum(size)::BIGINT AS source_size, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM d GROUP BY source),
 c AS (SELECT *, source_size * 2.0::DOUBLE AS cap, row_number() OVER (ORDER BY source_size * 2.0::DOUBLE / weight, source NULLS LAST) AS k FROM s),
 f AS (SELECT *, (sum(source_size) OVER ()::DOUBLE * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
-g AS (SELECT *, min(CASE WHEN cap > weight * level THEN level END) OVER () AS free FROM f),
+g AS (SELECT *, max(CASE WHEN cap > weight * level THEN level END) OVER () AS free FROM f),
 t AS (SELECT source, source_size, least(cap, coalesce(weight * free, cap)) AS target FROM g),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t),
 x AS (SELECT d.doc_id, d.size, r.source_size, r.target, (floor(rate) + (('0x' || substr(md5('mix:' || coalesce(d.doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE < rate - floor(rate))::INT)::BIGINT AS copies FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)

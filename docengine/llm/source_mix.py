@@ -29,8 +29,8 @@ def water_fill(sources: DataFrame, budget: float, most: float) -> DataFrame:
     """(source, source_size, weight) with ``target``: shares of budget * all sizes by weight, none above most * its size.
 
     Sources are filled in the order of their cap per weight. Those before the first whose cap exceeds its share of what the
-    earlier ones left are capped; the rest share that remainder by weight. One row a source: a table of sources, not of
-    documents, is ordered here.
+    earlier ones left are capped; the rest share that remainder by weight. The level there is the highest of all levels
+    that a cap exceeds. One row a source: a table of sources, not of documents, is ordered here.
     """
     order = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
     before = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -38,7 +38,7 @@ def water_fill(sources: DataFrame, budget: float, most: float) -> DataFrame:
     x = sources.withColumn("cap", F.col("source_size") * F.lit(float(most)))
     x = x.withColumn("left", F.sum("source_size").over(Window.partitionBy()) * F.lit(float(budget)) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
     x = x.withColumn("level", F.col("left") / F.sum("weight").over(rest))
-    x = x.withColumn("free", F.min(F.when(F.col("cap") > F.col("weight") * F.col("level"), F.col("level"))).over(Window.partitionBy()))
+    x = x.withColumn("free", F.max(F.when(F.col("cap") > F.col("weight") * F.col("level"), F.col("level"))).over(Window.partitionBy()))
     return x.withColumn("target", F.least("cap", F.coalesce(F.col("weight") * F.col("free"), F.col("cap")))).select("source", "source_size", "weight", "target")
 
 
