@@ -1,0 +1 @@
+"""docengine: document understanding at corpus scale, as DataFrame operations."""
