@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -67,7 +68,12 @@ def byte_view(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def row_blocks(texts: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def process_cache() -> dict:
+    """What a worker process keeps from task to task; functions travel by value, so their modules can't hold it."""
+    return sys.__dict__.setdefault("_docengine_kept", {})
+
+
+def row_blocks(texts: pa.Array, most: int = 500_000) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``most`` bytes at a time; a longer text is a range of its own."""
     n = len(texts)
     off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int64)

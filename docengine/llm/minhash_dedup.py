@@ -3,12 +3,13 @@
 1. Each text becomes a set of distinct k-word shingles (64-bit hashes), a 128-bit fingerprint of that set, and a signature
    of ``coords`` least hashes. Equal sets are one node from here on, so exact copies are never paired.
 2. Each node is posted under its (coordinate, value) pairs. Two sets that agree in ``matches`` of ``coords`` coordinates
-   share one of any ``coords - matches + 1`` of them: only that prefix is posted, rarest values first. Values held by
-   very many nodes form a list whose length is bounded by construction (``HOT_SHARE``), so it can be sent to all tasks.
+   share one of any ``coords - matches + 1`` of them: only that prefix is posted, rarest values first, so a value that
+   very many nodes hold is skipped by all that have rarer ones. Values of one node only are not posted.
 3. Inside a posting list, members are first paired with one leader (the most central one), not with each other. Linked
    members share a component, so only pairs across components remain; those are all tested. No list is cut.
-4. Collisions of a pair are counted on the whole signature, stopping short of the sets unless ``matches`` is reached and
-   the set sizes allow the threshold; pairs that pass are confirmed on the full sets.
+4. Collisions of a pair are counted on the whole signature, and the sets are fetched only if ``matches`` is reached and
+   the set sizes and a bitmap of each set allow the threshold (two bitmaps differ in no more bits than the sets in
+   members, so no pair is lost by that); pairs that pass are confirmed on the full sets.
 5. Components come from alternating star steps.
 
 A pair at exactly 0.8 is lost with a probability below 4e-5 (16 coordinates, 6 matches); more similar ones less.
@@ -22,7 +23,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_view, materialize, maybe_broadcast, row_blocks, text_of
@@ -30,9 +31,9 @@ from .components import connected_components
 from .words import shingle_sets, word_hashes
 
 COORDS, MATCHES = 16, 6
-#: A value is hot if at least this many nodes, and this share of all postings, hold it: at most 1 / HOT_SHARE values are.
-HOT_NODES, HOT_SHARE = 64, 1e-5
-#: Rounds of pairing with a leader before all pairs across components are tested.
+#: Bins of a set's bitmap.
+BITMAP = 2048
+#: Rounds of pairing with leaders before all pairs across components are tested.
 LEADER_ROUNDS = 2
 
 
@@ -52,11 +53,20 @@ def _fingerprint(u: np.ndarray) -> bytes | None:
     return hashlib.blake2b(u.tobytes(), digest_size=16).digest() if len(u) else None
 
 
+def _bitmaps(u: np.ndarray, off: np.ndarray, first: int, rows: int = 2000) -> np.ndarray:
+    """Of a few texts: which of ``BITMAP`` bins hold a member of the set, as 64-bit words."""
+    last = min(first + rows, len(off) - 1)
+    own = u[off[first] : off[last]]
+    seen = np.zeros((last - first) * BITMAP, bool)
+    seen[np.repeat(np.arange(last - first), np.diff(off[first : last + 1])) * BITMAP + (own >> np.uint64(64 - BITMAP.bit_length() + 1)).astype(np.int64)] = True
+    return np.packbits(seen).view(np.int64)
+
+
 def _sign(batches: Iterator[pa.RecordBatch], shingle: int, coords: int) -> Iterator[pa.RecordBatch]:
     salts = _salts(coords)
     tags = np.arange(coords, dtype=np.int64) << 32
     for batch in batches:
-        prints, sizes, signs = [], [], []
+        prints, sizes, signs, maps = [], [], [], []
         for _, u, off in _sets(batch, shingle):
             n = np.diff(off)
             full = np.flatnonzero(n)
@@ -67,27 +77,12 @@ def _sign(batches: Iterator[pa.RecordBatch], shingle: int, coords: int) -> Itera
             prints += [_fingerprint(u[off[i] : off[i + 1]]) for i in range(len(n))]
             sizes.append(n)
             signs.append(sig | tags)
+            maps += [_bitmaps(u, off, c) for c in range(0, len(n), 2000)]
         if not prints:
             continue
-        flat = np.concatenate(signs).ravel()
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(prints, pa.binary()), pa.array(np.concatenate(sizes)), pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, coords, dtype=np.int32), flat)],
-            names=["doc_id", "fp", "n_shingles", "sig"],
-        )
-
-
-def _post(batches: Iterator[pa.RecordBatch], prefix: int, hot: np.ndarray, held: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The prefix of each node's coordinates, rarest first, and how central the node is: how many others hold its hot values."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        sig = np.array(batch.column(1).flatten()).reshape(batch.num_rows, -1)
-        often = np.zeros(sig.shape, np.int64)
-        if len(hot):
-            at = np.minimum(np.searchsorted(hot, sig), len(hot) - 1)
-            often = np.where(hot[at] == sig, held[at], 0)
-        flat = np.take_along_axis(sig, np.argsort(often, axis=1, kind="stable")[:, :prefix], 1).ravel()
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(often.sum(1)), pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, prefix, dtype=np.int32), flat)], names=["fp", "central", "tokens"])
+        lists = lambda flat, k: pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, k, dtype=np.int32), flat)
+        cols = [batch.column(0), pa.array(prints, pa.binary()), pa.array(np.concatenate(sizes)), lists(np.concatenate(signs).ravel(), coords), lists(np.concatenate(maps), BITMAP // 64)]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "fp", "n_shingles", "sig", "bits"])
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -120,24 +115,24 @@ class NearDuplicates:
         self.shingle, (self.up, self.down), self.matches, self.coords = shingle, similarity, matches, coords
         self.docs = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
         kind = self.docs.schema["doc_id"].dataType.simpleString()
-        self.signed = materialize(self.docs.mapInArrow(partial(_sign, shingle=shingle, coords=coords), f"doc_id {kind}, fp binary, n_shingles long, sig array<long>"), "signed")
-        self.nodes = materialize(self.signed.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "nodes")
+        self.signed = materialize(self.docs.mapInArrow(partial(_sign, shingle=shingle, coords=coords), f"doc_id {kind}, fp binary, n_shingles long, sig array<long>, bits array<long>"), "signed")
+        self.nodes = materialize(self.signed.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bits").alias("bits")), "nodes")
         self.labels = self._link()
 
     def _posted(self) -> DataFrame:
-        nodes = self.nodes.count()
-        least = max(HOT_NODES, int(nodes * self.coords * HOT_SHARE) + 1)
-        hot = self.nodes.select(F.explode("sig").alias("token")).groupBy("token").count().filter(F.col("count") >= least).orderBy("token").toPandas()  # at most 1 / HOT_SHARE rows
-        made = self.nodes.select("fp", "sig").mapInArrow(partial(_post, prefix=self.coords - self.matches + 1, hot=hot["token"].to_numpy("int64"), held=hot["count"].to_numpy("int64")), "fp binary, central long, tokens array<long>")
-        shared = made.select("fp", "central", F.explode("tokens").alias("token"))
-        often = shared.groupBy("token").count().filter("count > 1")
-        return materialize(shared.join(often, "token").select("token", "fp", "central"), "posted")
-
-    def _verified(self, pairs: DataFrame) -> DataFrame | None:
-        """Those of (a, b) that reach the threshold: counts on signatures first, then full sets. None if no pair is left for these."""
-        own = lambda s: self.nodes.select(F.col("fp").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
-        same = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-        near = pairs.join(own("a"), "a").join(own("b"), "b").filter((same >= self.matches) & (F.least("n_a", "n_b") * self.down >= F.greatest("n_a", "n_b") * self.up)).select("a", "b")
+        """(token, fp, central): the prefix of each node's tokens, rarest first, without tokens that only it has.
+
+        ``central`` sums how many nodes hold each of its tokens.
+        """
+        every = self.nodes.select("fp", "n", F.explode("sig").alias("token"))
+        held = every.groupBy("token").agg(F.count("*").alias("held")).filter("held > 1")
+        ranked = every.join(held, "token").groupBy("fp", "n").agg(F.sum("held").alias("central"), F.array_sort(F.collect_list(F.struct("held", "token"))).alias("t"))
+        # the node's other tokens are its own, come first and fill a part of the prefix
+        taken = F.expr(f"slice(t, 1, greatest(0, size(t) - {self.matches - 1}))")
+        return materialize(ranked.select("fp", "n", "central", F.explode(taken).alias("t")).select("t.token", "fp", "n", "central"), "posted")
+
+    def _verified(self, near: DataFrame) -> DataFrame | None:
+        """Those of the near pairs (a, b) that reach the threshold on their full sets. None if there are no pairs."""
         near = materialize(near, "near")
         if near.isEmpty():
             return None
@@ -158,36 +153,59 @@ class NearDuplicates:
                 now = materialize(now.join(open_, "token"), "open")
                 if now.isEmpty():
                     break
-            if step < LEADER_ROUNDS:
-                pairs = self._with_leader(now, first=labels is None)
-            else:
-                other = now.select("token", F.col("fp").alias("b"), F.col("label").alias("other"))
-                pairs = now.select("token", F.col("fp").alias("a"), "label").join(other, "token").filter((F.col("a") < F.col("b")) & (F.col("label") != F.col("other"))).select("a", "b").distinct()
-            found = self._verified(pairs)
+            near = self._with_leaders(now, step) if step < LEADER_ROUNDS else self._across(now)
+            found = self._verified(near)
             if found is None and labels is not None:
                 continue
             if found is None:
-                found = pairs.select("a", "b").limit(0)
+                found = near.limit(0)
             links = materialize(found if links is None else links.union(found), "links")
             labels = materialize(connected_components(links), "labels")
         return labels
 
-    @staticmethod
-    def _with_leader(now: DataFrame, first: bool) -> DataFrame:
-        """Each list's members against its most central member; later on, against the most central one of another component."""
-        best = F.max(F.struct("central", "fp", "label"))
-        lead = now.groupBy("token").agg(best.alias("l")).select("token", F.col("l.fp").alias("lead"), F.col("l.label").alias("lead_label"))
-        if not first:
-            rest = now.join(lead, "token").filter(F.col("label") != F.col("lead_label"))
-            lead = rest.groupBy("token").agg(best.alias("l")).select("token", F.col("l.fp").alias("lead"), F.col("l.label").alias("lead_label"))
-        apart = F.col("fp") != F.col("lead") if first else F.col("label") != F.col("lead_label")
-        return now.join(lead, "token").filter(apart).select(F.least("fp", "lead").alias("a"), F.greatest("fp", "lead").alias("b")).distinct()
-
+    def _with_leaders(self, now: DataFrame, step: int) -> DataFrame:
+        """Near pairs of each list's members with two leaders: its most central member's component sends that member, in
+        later rounds another one by hash; from the second round on, so do the other components, as one."""
+        best = F.max(F.struct("central", "fp", "label", "n"))
+        of = lambda df: df.select("token", F.col("l.fp").alias("lead"), F.col("l.label").alias("lead_label"), F.col("l.n").alias("lead_n"))
+        lead = of(now.groupBy("token").agg(best.alias("l")))
+        if step:
+            turn = F.max(F.struct(F.xxhash64("fp", F.lit(step)), "fp", "label", "n"))
+            both = now.join(lead.select("token", F.col("lead_label").alias("first")), "token").withColumn("other", F.col("label") != F.col("first"))
+            lead = of(both.groupBy("token", "other").agg(turn.alias("l")))
+        sizes = F.least("n", "lead_n") * self.down >= F.greatest("n", "lead_n") * self.up
+        pairs = now.join(lead, "token").filter(sizes & (F.col("fp") != F.col("lead")) & (F.lit(step == 0) | (F.col("label") != F.col("lead_label"))))
+        pairs = pairs.select(F.least("fp", "lead").alias("a"), F.greatest("fp", "lead").alias("b")).distinct()
+        own = lambda s: self.nodes.select(F.col("fp").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "sig", "bits")])
+        return pairs.join(own("a"), "a").join(own("b"), "b").filter(self._near()).select("a", "b")
+
+    def _across(self, now: DataFrame) -> DataFrame:
+        """Near pairs of different components in a list, each in the list of the least token that both are posted under.
+
+        The join itself counts, so only near pairs come out of it, once each.
+        """
+        held = now.groupBy("fp").agg(F.collect_list("token").alias("tokens"))
+        full = now.select("token", "fp", "label").join(held, "fp").join(self.nodes.select("fp", "n", "sig", "bits"), "fp")
+        side = lambda s: full.select(*[F.col(c).alias(f"{c}_{s}") for c in ("token", "tokens", "fp", "label", "n", "sig", "bits")])
+        on = (F.col("token_a") == F.col("token_b")) & (F.col("fp_a") < F.col("fp_b")) & (F.col("label_a") != F.col("label_b"))
+        once = F.array_min(F.array_intersect("tokens_a", "tokens_b")) == F.col("token_a")
+        return side("a").join(side("b"), on & self._near() & once).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
+
+    def _near(self) -> Column:
+        """Whether sizes, bitmaps and collisions of two nodes allow the threshold.
+
+        Two sets of a similarity of up / down differ in at most (n_a + n_b) * (down - up) / (down + up) members, and their
+        bitmaps in no more bits than that.
+        """
+        apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+        same = F.size(F.array_intersect("sig_a", "sig_b"))  # tokens carry their coordinate, so common ones are collisions
+        sizes = F.least("n_a", "n_b") * self.down >= F.greatest("n_a", "n_b") * self.up
+        return sizes & (apart * (self.down + self.up) <= (F.col("n_a") + F.col("n_b")) * (self.down - self.up)) & (same >= self.matches)
     def classes(self) -> DataFrame:
-        """(fp, component_id, rep): the least document id of each node's component, and of the node itself."""
+        """(fp, label, component_id, rep): each node's component, the least document id in it, and in the node itself."""
         own = self.nodes.select("fp", "rep").join(self.labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
         least = own.groupBy("label").agg(F.min("rep").alias("component_id"))
-        return own.join(least, "label").select("fp", "component_id", "rep")
+        return own.join(least, "label").select("fp", "label", "component_id", "rep")
 
     def result(self) -> DataFrame:
         of = self.classes().select("fp", "component_id")
@@ -218,7 +236,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows without words all stay. Columns stay as they are.
     """
     run = NearDuplicates(docs, id_col, text_col, **options)
-    stay = run.classes().filter(F.col("rep").eqNullSafe(F.col("component_id"))).groupBy(F.col("component_id").alias("_id")).agg(F.min("fp").alias("_fp"))
+    stay = run.classes().filter(F.col("rep").eqNullSafe(F.col("component_id"))).groupBy("label").agg(F.min_by(F.struct("fp", "rep"), "fp").alias("s")).select(F.col("s.fp").alias("_fp"), F.col("s.rep").alias("_id"))
     many = run.signed.filter("fp is not null").groupBy("doc_id", "fp").count().filter("count > 1").limit(1).count() > 0
     own = docs.select(docs[id_col].alias("_key"), docs[text_col].cast("string").alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
     kind = own.schema["_key"].dataType.simpleString()

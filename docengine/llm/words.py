@@ -7,13 +7,16 @@ from __future__ import annotations
 
 import numpy as np
 
+from .common import process_cache
+
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint64)
 LOWER[65:91] += np.uint64(32)
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes up to which the powers of the base are kept from call to call.
+KEPT = 1_000_000
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -24,12 +27,18 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in ((0, BASE), (1, BASE_INV)):
-            p = np.full(n, base, np.uint64)
+    """BASE ** i and its inverse for i < n or more; one table serves all tasks of a process."""
+    kept = process_cache()
+    have = kept.get("powers")
+    if have is None or len(have[0]) < n:
+        have = []
+        for base in (BASE, BASE_INV):
+            p = np.full(max(n, 1), base, np.uint64)
             p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0], _powers[1]
+            have.append(np.multiply.accumulate(p))
+        if n <= KEPT:
+            kept["powers"] = have
+    return have[0], have[1]
 
 
 def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
