@@ -20,12 +20,12 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from .common import new_dir, row_blocks, text_of
+from .common import new_dir, process_cache, row_blocks, text_of
 
 #: Where public vocabularies are looked for unless a path is given: a file of base64 tokens and ranks.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -34,7 +34,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 END = 50256
 LENGTH = 512
 PER_SHARD = 4096
-#: Words whose token ids a task remembers.
+#: Words whose token ids a worker remembers.
 REMEMBERED = 400_000
 
 
@@ -60,13 +60,21 @@ class Tokenizer:
         for w in rest:
             ids = known.get(w)
             if ids is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                ids = known[w] = self._whole(" " + w)
+                ids = self._whole(" " + w)
+                if len(known) < REMEMBERED:
+                    known[w] = ids
             out.append(ids)
         return b"".join(out)
 
 
+def tokenizer(shared: Broadcast) -> Tokenizer:
+    """The worker's tokenizer: built once, so that its words serve all tasks of the process."""
+    kept, digest = process_cache(), shared.value[0]
+    if kept.get("tokenizer", ("", None))[0] != digest:
+        kept["tokenizer"] = (digest, Tokenizer(shared.value[1]))
+    return kept["tokenizer"][1]
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -79,9 +87,9 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, str]]:
             yield from zip(batch.column(0).slice(a, b - a).to_pylist(), texts.slice(a, b - a).to_pylist(), strict=True)
 
 
-def _packed(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int], length: int, end: int) -> Iterator[tuple[int, list, bytes]]:
+def _packed(batches: Iterator[pa.RecordBatch], shared: Broadcast, length: int, end: int) -> Iterator[tuple[int, list, bytes]]:
     """(number within the task, ids of the documents in it, token bytes): full sequences, the last one filled up with end marks."""
-    encode, stop = Tokenizer(ranks), np.array([end], "<u2").tobytes()
+    encode, stop = tokenizer(shared), np.array([end], "<u2").tobytes()
     stride, held, n = 2 * length, bytearray(), 0
     ids: list = []
     for doc, text in _texts(batches):
@@ -96,8 +104,8 @@ def _packed(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int], length:
         yield n, ids, bytes(held) + stop * ((stride - len(held)) // 2)
 
 
-def _counts(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int], length: int) -> Iterator[pa.RecordBatch]:
-    encode, tokens = Tokenizer(ranks), 0
+def _counts(batches: Iterator[pa.RecordBatch], shared: Broadcast, length: int) -> Iterator[pa.RecordBatch]:
+    encode, tokens = tokenizer(shared), 0
     for _, text in _texts(batches):
         tokens += len(encode(text)) // 2 + 1
     yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([-(-tokens // length)], pa.int64())], names=["part", "sequences"])
@@ -121,7 +129,7 @@ def feistel(index: np.ndarray, size: int, key: str, rounds: int = 6) -> np.ndarr
     return out.astype(np.int64)
 
 
-def _slotted(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int], length: int, end: int, starts: dict[int, tuple[int, int]], total: int, key: str, per_shard: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _slotted(batches: Iterator[pa.RecordBatch], shared: Broadcast, length: int, end: int, starts: dict[int, tuple[int, int]], total: int, key: str, per_shard: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
     start, promised = starts.get(part, (0, 0))
     seen = 0
@@ -131,7 +139,7 @@ def _slotted(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int], length:
         return pa.RecordBatch.from_arrays([pa.array(slots), pa.array(slots // per_shard), pa.array([start + r[0] for r in rows]), pa.array([r[1] for r in rows], pa.list_(id_type)), pa.array([r[2] for r in rows], pa.binary())], names=["slot", "shard", "sequence", "doc_ids", "tokens"])
 
     rows: list = []
-    for r in _packed(batches, ranks, length, end):
+    for r in _packed(batches, shared, length, end):
         seen += 1
         if seen > promised:
             break
@@ -193,8 +201,10 @@ def write_token_shards(docs: DataFrame, uri: str | None = None, id_col: str = "d
     spark = docs.sparkSession
     uri = uri or new_dir(spark, "tokens")
     own = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    ranks = load_ranks(vocabulary)  # fixed size: the vocabulary's
-    counted = own.mapInArrow(partial(_counts, ranks=ranks, length=length), "part int, sequences long")
+    with open(vocabulary, "rb") as f:
+        digest = hashlib.sha256(f.read()).hexdigest()
+    shared = spark.sparkContext.broadcast((digest, load_ranks(vocabulary)))  # fixed size: the vocabulary's
+    counted = own.mapInArrow(partial(_counts, shared=shared, length=length), "part int, sequences long")
     starts, total = {}, 0
     for r in sorted(counted.collect()):  # a row a split
         starts[r["part"]] = (total, r["sequences"])
@@ -203,7 +213,7 @@ def write_token_shards(docs: DataFrame, uri: str | None = None, id_col: str = "d
 
     kind = own.schema["doc_id"].dataType
     packed = StructType([StructField("slot", LongType()), StructField("shard", LongType()), StructField("sequence", LongType()), StructField("doc_ids", ArrayType(kind)), StructField("tokens", BinaryType())])
-    slotted = own.mapInArrow(partial(_slotted, ranks=ranks, length=length, end=end, starts=starts, total=max(1, total), key=key, per_shard=per_shard, id_type=to_arrow_type(kind)), packed)
+    slotted = own.mapInArrow(partial(_slotted, shared=shared, length=length, end=end, starts=starts, total=max(1, total), key=key, per_shard=per_shard, id_type=to_arrow_type(kind)), packed)
     shards = max(1, -(-total // per_shard))
     files, root = fs.FileSystem.from_uri(uri)
     files.create_dir(root, recursive=True)
