@@ -13,7 +13,9 @@ import base64
 import hashlib
 import json
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import partial
 
@@ -50,7 +52,10 @@ class Tokenizer:
         self.apart = re.compile(r" (?:\s|$)")
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), "<u2").tobytes()
+        ids = array("H", self.encoding.encode_ordinary(text))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def __call__(self, text: str) -> bytes:
         if self.apart.search(text):
