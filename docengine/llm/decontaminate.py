@@ -148,17 +148,21 @@ class Items:
                 best = score
         return best
 
-    def candidates(self, h: np.ndarray) -> set[tuple[int, int]]:
-        """(word where the item would start, item) for all windows that share a key with one of the item's."""
-        found: set[tuple[int, int]] = set()
+    def candidates(self, h: np.ndarray, first: np.ndarray) -> set[tuple[int, int, int]]:
+        """(document, word where the item would start, item) for all windows that share a key with one of the item's.
+
+        The document is the one in which the window starts; the item's own start may lie before the document's first word.
+        """
+        found: set[tuple[int, int, int]] = set()
         for table, by in enumerate(self.index):
             keys = walk_keys(h, self.plans[table], self.sizes)
             for w, (there, key, item, offset) in by.items():
                 maybe = np.flatnonzero(there[keys[w] >> np.uint64(48)])  # the keys' upper bits first
                 own = keys[w][maybe]
                 lo, hi = np.searchsorted(key, own, "left"), np.searchsorted(key, own, "right")
-                for p, a, b in zip(maybe.tolist(), lo.tolist(), hi.tolist(), strict=True):
-                    found.update((p - int(offset[k]), int(item[k])) for k in range(a, b))
+                doc = np.searchsorted(first, maybe, "right") - 1
+                for d, p, a, b in zip(doc.tolist(), maybe.tolist(), lo.tolist(), hi.tolist(), strict=True):
+                    found.update((d, p - int(offset[k]), int(item[k])) for k in range(a, b))
         return found
 
     def leaks(self, texts: pa.Array, max_edits: float) -> list[list[dict]]:
@@ -170,9 +174,7 @@ class Items:
         h, first, start = word_hashes(data, off)
         best: dict[tuple[int, int], tuple[int, int]] = {}
         tried: set[tuple[int, int, int]] = set()
-        cand = sorted(self.candidates(h)) if len(h) else []
-        docs = np.searchsorted(first, [max(0, p) for p, _ in cand], "right") - 1 if cand else []
-        for (p, item), d in zip(cand, np.asarray(docs).tolist(), strict=True):
+        for d, p, item in sorted(self.candidates(h, first)) if len(h) else []:
             n, allowed = int(self.words[item]), int(max_edits * len(self.flat[item]))
             slack = 2 + n // 4
             if best.get((d, item), (1, 0))[0] == 0 or (d, item, p // slack) in tried:

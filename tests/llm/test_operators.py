@@ -65,6 +65,24 @@ def test_recall_of_edited_items():
     assert not any(items.leaks(pa.array(clean, pa.large_string()), D.MAX_EDITS))
 
 
+def test_documents_that_begin_inside_an_item():
+    rng = random.Random(8)
+    vocab = [f"w{k}" for k in range(400)]
+    benchmark = [" ".join(rng.choice(vocab) for _ in range(40)) for _ in range(30)]
+    items, near, found = D.Items(benchmark, D.TABLES), 0, 0
+    for k, text in enumerate(benchmark):
+        for cut in (2, 4, 6, 7):
+            rest = " ".join([*text.split()[cut:], *(rng.choice(vocab) for _ in range(30))])
+            if items.distance(k, rest) > int(D.MAX_EDITS * len(items.flat[k])):
+                continue
+            near += 1
+            rows = ["other words stand here", rest, "", rest]
+            got = [[(x["item"], x["start_word"]) for x in r] for r in items.leaks(pa.array(rows, pa.large_string()), D.MAX_EDITS)]
+            assert not got[0] and not got[2] and got[1] == got[3]
+            found += got[1] == [(k, 0)]
+    assert near > 80 and found / near >= 0.9
+
+
 def test_leaks_odd_inputs(spark):
     docs = spark.createDataFrame([(1, "x Alpha  beta gamma delta\nepsilon zeta y", 1), (1, "x Alpha  beta gamma delta\nepsilon zeta y", 1), (None, None, 2), (3, "", 3), (4, "nothing here at all", 4)], "doc_id long, text string, leaks int")
     bench = spark.createDataFrame([(7, "alpha beta gamma delta epsilon zeta"), (8, None), (9, " "), (7, "alpha beta gamma delta epsilon zeta")], "item_id long, text string")
