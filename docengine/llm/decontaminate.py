@@ -87,6 +87,13 @@ def _flat(text: str) -> str:
     return " ".join(text.lower().split())
 
 
+def _folded(texts: pa.Array) -> pa.Array:
+    """The texts as ``_flat`` leaves them; bytes that are not UTF-8 are replaced."""
+    data, off = byte_view(texts)
+    raw, off = data.tobytes(), off.tolist()
+    return pa.array([_flat(raw[a:b].decode("utf-8", "replace")) for a, b in zip(off[:-1], off[1:], strict=True)], pa.large_string())
+
+
 class Items:
     """A block of benchmark items, ready to be searched for."""
 
@@ -170,7 +177,7 @@ class Items:
         out: list[list[dict]] = [[] for _ in range(len(texts))]
         if not self.sizes:
             return out
-        data, off = byte_view(texts)
+        data, off = byte_view(_folded(texts))  # as the items: words of other scripts and blanks must hash alike
         h, first, start = word_hashes(data, off)
         best: dict[tuple[int, int], tuple[int, int]] = {}
         tried: set[tuple[int, int, int]] = set()
@@ -183,7 +190,7 @@ class Items:
             a, b = max(int(first[d]), p - 2 * slack), min(int(first[d + 1]), p + n + 2 * slack)
             if a >= b:
                 continue
-            text = _flat(data[start[a] : start[b] if b < first[d + 1] else off[d + 1]].tobytes().decode("utf-8", "replace"))
+            text = data[start[a] : start[b] if b < first[d + 1] else off[d + 1]].tobytes().decode().rstrip(" ")
             got = self.distance(item, text)
             if got <= allowed and got < best.get((d, item), (1 << 30, 0))[0]:
                 best[d, item] = (got, max(0, p - int(first[d])))

@@ -83,6 +83,15 @@ def test_documents_that_begin_inside_an_item():
     assert near > 80 and found / near >= 0.9
 
 
+def test_copies_in_other_cases_and_blanks():
+    benchmark = ["Сегодня мы читаем старую книгу о дальних морях и кораблях", "élan über été öffnen çà où naïve garçon être", "ο λόγος του ανθρώπου και της πόλεως είναι μεγάλος", "one two three four five six seven eight"]
+    items = D.Items(benchmark, D.TABLES)
+    for k, text in enumerate(benchmark):
+        for copy in (text, text.upper(), text.title(), text.replace(" ", "\u00a0"), text.replace(" ", "\u2003\u2028"), text.replace(" ", "\x1f")):
+            got = items.leaks(pa.array(["before it", f"x y\u00a0z {copy} after"], pa.large_string()), D.MAX_EDITS)
+            assert not got[0] and [(x["item"], x["distance"]) for x in got[1]] == [(k, 0)], (k, copy)
+
+
 def test_leaks_odd_inputs(spark):
     docs = spark.createDataFrame([(1, "x Alpha  beta gamma delta\nepsilon zeta y", 1), (1, "x Alpha  beta gamma delta\nepsilon zeta y", 1), (None, None, 2), (3, "", 3), (4, "nothing here at all", 4)], "doc_id long, text string, leaks int")
     bench = spark.createDataFrame([(7, "alpha beta gamma delta epsilon zeta"), (8, None), (9, " "), (7, "alpha beta gamma delta epsilon zeta")], "item_id long, text string")
