@@ -1,19 +1,19 @@
-"""Benchmark decontamination by CGK embeddings and bit-sampling LSH.
+"""Benchmark decontamination by an exact filter and exact edit distances: an item within the edits allowed is never missed.
 
-The symbols are hashed words. The CGK walk (Chakraborty, Goldenberg, Koucky) copies the symbol under its pointer and then
-moves on or stays by a random bit of (step, symbol); two sequences at a small edit distance give walks at a small Hamming
-distance. A table of the LSH samples ``BITS`` steps of the walk as a key; ``tables`` tables are tried, each with another
-walk. Every word of a document starts a window; items are entered by windows of their own size, up to ``LONGEST`` words,
-and longer items by several such windows that overlap by half. Windows that meet an item's key are verified: the least
-edit distance between the item and any substring of the text around the window.
+Each item of m characters is cut into pieces that don't overlap. An edit spoils at most one piece, so of n pieces n - k are
+found unchanged in any text at k edits or fewer, and they lie within k + 1 neighbouring diagonals (place in the text minus
+place in the item). An inverted index of the pieces gives all places where they occur; hits are counted by item and
+diagonal, in bins first, and the bins that may hold enough are sorted and counted exactly. Diagonals with n - k hits are
+verified: the least edit distance between the item and any substring of the document around them, by Myers' bit vectors,
+many candidates at a time.
 
-The walks of all windows of a block run together. A walk's pointer depends only on where it is, so walks that meet stay
-together; their number falls with the square root of the steps, and so does the work.
+The length of an item's pieces is the one with the least work expected among those that leave n - k >= 1; one character
+always does. No recall is given up by the choice.
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -24,106 +24,267 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from .common import byte_view, free_name, row_blocks, text_of
-from .words import word_hashes
 
-#: Window sizes in words: an item takes the largest that it fills.
-SIZES = (1, 2, 4, 8, 16, 32)
-LONGEST = SIZES[-1]
-BITS = 4
+#: Callers may still name a number of tables, as the filter before this one had; nothing depends on it.
 TABLES = 5
-#: Steps of a walk over a window of w words: it passes half a word a step, so these stay within the window.
-STEPS_PER_WORD = 1.5
 MAX_EDITS = 0.2
 #: Items sent to the tasks at a time; a larger benchmark takes several passes over the documents.
 BLOCK_BYTES = 8_000_000
-#: Bytes of text walked at a time: the pointers and words of so many stay in a core's cache.
+#: Bytes of text searched at a time.
 WALK_BYTES = 400_000
+#: Lengths of pieces to choose from, and what the choice assumes: the chance that two places of texts share one character and
+#: each further one, how much likelier that is within a language, and the work of chaining a run, in hits.
+PIECES = range(1, 9)
+SHARE_ONE, SHARE_NEXT, ALIKE, RUN = 0.04, 0.25, 3, 60
+#: Items that are searched for together: characters, and entries of their bit masks.
+GROUP_CHARS, GROUP_MASKS = 64_000, 4_000_000
+#: Hits held at a time; a text with more is searched in overlapping halves.
+HITS = 6_000_000
+#: Hits of a run up to which they are chained before it is verified.
+CHAIN = 400
+CHAINED = 1024
+#: Bits of an index slot; pieces that share one only cost time.
+SLOT = 18
+#: Longer items, and fewer candidates at a time than this, are verified one by one.
+MANY_WORDS, MANY = 32, 48
 
 LEAK = StructType([StructField("item", IntegerType()), StructField("start_word", LongType()), StructField("distance", IntegerType()), StructField("item_chars", IntegerType())])
 
 
-def _seed(*parts: int) -> np.uint64:
-    return np.uint64(int.from_bytes(hashlib.blake2b(b"cgk" + repr(parts).encode(), digest_size=8).digest(), "little") | 1)
-
-
-def _plan(table: int, sizes: tuple[int, ...]) -> tuple[list[np.uint64], dict[int, list[tuple[int, np.uint64]]]]:
-    """Seeds of the walk's steps, and which steps are sampled for which size (with the factor of the key)."""
-    steps = lambda w: max(BITS, int(w * STEPS_PER_WORD))
-    seeds = [_seed(table, t) for t in range(steps(max(sizes)))]
-    sampled: dict[int, list[tuple[int, np.uint64]]] = {}
-    for w in sizes:
-        rng = np.random.default_rng([20240101, table, w])
-        for t in rng.choice(steps(w), BITS, replace=False):
-            sampled.setdefault(int(t), []).append((w, _seed(table, int(t), w)))
-    return seeds, sampled
-
-
-def walk_keys(h: np.ndarray, plan: tuple[list[np.uint64], dict[int, list[tuple[int, np.uint64]]]], sizes: tuple[int, ...]) -> dict[int, np.ndarray]:
-    """For each size, the key of the window that starts at each word of ``h``."""
-    n = len(h)
-    seeds, sampled = plan
-    padded = np.concatenate([h, np.zeros(len(seeds) + 1, np.uint64)])
-    keys = {w: np.full(n, np.uint64(w)) for w in sizes}
-    at = np.arange(n, dtype=np.int64)  # the pointers of the distinct walks, ascending
-    walk: np.ndarray | None = None  # the walk of each window
-    merge = 2
-    for t, seed in enumerate(seeds):
-        here = padded[at]
-        for w, factor in sampled.get(t, ()):
-            part = here * factor
-            keys[w] += part if walk is None else part[walk]
-        at = at + ((here * seed) >> np.uint64(63)).astype(np.int64)
-        if t + 1 == merge:
-            merge = max(merge + 2, int(merge * 1.6))
-            first = np.ones(len(at), bool)
-            first[1:] = at[1:] != at[:-1]
-            to = np.cumsum(first) - 1
-            walk = to if walk is None else to[walk]
-            at = at[first]
-    return keys
-
-
 def _flat(text: str) -> str:
     return " ".join(text.lower().split())
 
 
-def _folded(texts: pa.Array) -> pa.Array:
+def _folded(texts: pa.Array) -> list[str]:
     """The texts as ``_flat`` leaves them; bytes that are not UTF-8 are replaced."""
     data, off = byte_view(texts)
     raw, off = data.tobytes(), off.tolist()
-    return pa.array([_flat(raw[a:b].decode("utf-8", "replace")) for a, b in zip(off[:-1], off[1:], strict=True)], pa.large_string())
+    return [_flat(raw[a:b].decode("utf-8", "replace")) for a, b in zip(off[:-1], off[1:], strict=True)]
+
+
+class Group:
+    """Some items, with the index of their pieces and their bit masks."""
+
+    def __init__(self, ids: list[int], flat: list[str], allowed: list[int]):
+        self.ids = np.array(ids)
+        codes = [_codes(flat[i]) for i in ids]
+        self.m, self.k = np.array([len(c) for c in codes]), np.array([allowed[i] for i in ids])
+        piece = [_piece(int(m), int(k)) for m, k in zip(self.m, self.k, strict=True)]
+        self.least = np.array([int(m) // q - int(k) for m, k, q in zip(self.m, self.k, piece, strict=True)])
+        self.width = self.k + 2
+        self.index = []
+        for q in sorted(set(piece)):
+            own = [i for i, p in enumerate(piece) if p == q]
+            slot = np.concatenate([_slots(codes[i], q)[: len(codes[i]) // q * q : q] for i in own])
+            item = np.repeat(own, [len(codes[i]) // q for i in own]).astype(np.int32)
+            offset = np.concatenate([np.arange(len(codes[i]) // q) * q for i in own]).astype(np.int32)
+            order = np.argsort(slot, kind="stable")
+            count = np.bincount(slot, minlength=1 << SLOT).astype(np.int32)
+            item, offset = item[order], offset[order]
+            self.index.append((q, count, (np.cumsum(count) - count).astype(np.int32), item, (self.m[item] - offset).astype(np.int32), (1 / self.width)[item].astype(np.float64), offset // q))
+        self.letters = np.unique(np.concatenate(codes))
+        self.words = (self.m + 63) // 64
+        self.codes = codes
+        self._masks: np.ndarray | None = None
+
+    @property
+    def masks(self) -> np.ndarray:
+        """By word, item and letter (0 for all others), the places of the letter in the item."""
+        if self._masks is None:
+            out = np.zeros((int(self.words.max()), len(self.ids), len(self.letters) + 1), np.uint64)
+            for i, c in enumerate(self.codes):
+                at = np.arange(len(c))
+                np.bitwise_or.at(out, (at // 64, i, np.searchsorted(self.letters, c) + 1), np.uint64(1) << (at % 64).astype(np.uint64))
+            self._masks = out.reshape(len(out), -1)
+        return self._masks
+
+    def candidates(self, codes: np.ndarray, a: int, b: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(item, first, last diagonal) wherever enough pieces are found in codes[a:b]."""
+        n, found, total = b - a, [], 0
+        for q, count, start, *rest in self.index:
+            slot = _slots(codes[a:b], q)
+            reps = count[slot]
+            at = np.flatnonzero(reps)
+            total += int(reps[at].sum())
+            found.append((at, reps[at], start[slot[at]], *rest))
+        reach = int((self.m + self.k).max())
+        if total > HITS and n > 4 * reach:
+            mid = (a + b) // 2
+            return self.candidates(codes, a, mid + reach) + self.candidates(codes, mid, b)
+        if not total:
+            return []
+        bins = ((n + self.m) / self.width).astype(np.int64) + 3
+        base = (np.cumsum(bins) - bins).astype(np.float64)
+        binned = int(bins.sum()) <= 2 * HITS
+        posts, places, keys = [], [], []
+        for at, reps, start, item, shift, inverse, _ in found:
+            posts.append(np.repeat(start - (np.cumsum(reps) - reps), reps) + np.arange(int(reps.sum())))
+            places.append(np.repeat(at.astype(np.float64), reps))
+            if binned:
+                key = inverse[posts[-1]]
+                key *= places[-1]
+                key += (base[item] + shift * inverse)[posts[-1]]  # the bin of the item's diagonal
+                keys.append(key.astype(np.int64))
+        if binned:
+            seen = np.bincount(keys[0] if len(keys) == 1 else np.concatenate(keys), minlength=int(bins.sum()) + 1)
+            full = seen[:-1] + seen[1:] >= np.repeat(self.least, bins)  # k + 1 diagonals lie in two neighbouring bins
+            ok = np.zeros(len(seen), bool)
+            ok[:-1] = full
+            ok[1:] |= full
+            for x, key in enumerate(keys):
+                keep = np.flatnonzero(ok[key])
+                posts[x], places[x] = posts[x][keep], places[x][keep]
+        own, diagonal, piece = (np.concatenate(x) for x in zip(*((f[3][k], at.astype(np.int64) + f[4][k], f[6][k]) for f, k, at in zip(found, posts, places, strict=True)), strict=True))
+        if not len(own):
+            return []  # diagonals are counted from -m, so none is below 0
+        v = np.sort(own.astype(np.int64) << np.int64(47) | diagonal.astype(np.int64) << np.int64(19) | piece)
+        own, diagonal = v >> np.int64(47), v >> np.int64(19) & np.int64((1 << 28) - 1)
+        i = np.arange(len(v))
+        j = i + self.least[own] - 1
+        i = i[j < len(v)]
+        j = j[i]
+        enough = (own[i] == own[j]) & (diagonal[j] - diagonal[i] <= self.k[own[i]])
+        i, j = i[enough], j[enough]
+        if not len(i):
+            return []
+        new = np.ones(len(i), bool)
+        new[1:] = (own[i[1:]] != own[i[:-1]]) | (diagonal[i[1:]] > diagonal[j[:-1]])
+        at = np.flatnonzero(new)
+        first, last = i[at], j[np.append(at[1:], len(i)) - 1]
+        kept = self.chained(first, last, own, diagonal, v & np.int64((1 << 19) - 1))
+        first, last = first[kept], last[kept]
+        which = own[first]
+        return [(which, diagonal[first] - self.m[which] + a, diagonal[last] - self.m[which] + a)]
+
+    def chained(self, first: np.ndarray, last: np.ndarray, own: np.ndarray, diagonal: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Which runs of hits first..last hold a chain of pieces in order that can be within the edits allowed.
+
+        Between two pieces of a chain lie as many edits as there are pieces or as the diagonal moves, whichever is more. So the
+        pieces of a chain less the moves beyond the pieces passed over are n - k or more in any text at k edits or fewer.
+        """
+        hits = last - first + 1
+        kept = hits > CHAIN  # not worth it; to be verified as they are
+        order = np.argsort(hits, kind="stable")[: int((~kept).sum())]
+        least = self.least[own[first]]
+        a = 0
+        while a < len(order):
+            part = order[a : a + CHAINED]
+            part = part[hits[part] <= max(12, hits[part[0]] * 5 // 4)]
+            a += len(part)
+            h = int(hits[part].max())
+            k = first[part] + np.arange(h)[:, None]
+            there = k <= last[part]
+            k = np.minimum(k, len(own) - 1)
+            by = np.sort(np.where(there, piece[k] << np.int64(28) | diagonal[k] - diagonal[first[part]], np.int64(1) << np.int64(60)), axis=0)
+            o = by >> np.int64(28)
+            real = o < 1 << 20
+            distinct = real.copy()
+            distinct[1:] &= o[1:] != o[:-1]
+            many = np.flatnonzero(distinct.sum(axis=0) >= least[part])
+            if not len(many):
+                continue
+            part, real = part[many], real[:, many]
+            o, d = np.where(real, o[:, many], 1 << 20).astype(np.int32), (by[:, many] & np.int64((1 << 28) - 1)).astype(np.int32)
+            score = real.astype(np.int32)
+            for j in range(1, int(real.sum(axis=1).astype(bool).sum())):
+                between = o[j] - o[:j]
+                lost = d[:j] - d[j]
+                np.abs(lost, out=lost)
+                lost -= between
+                lost += 1
+                np.maximum(lost, 0, out=lost)
+                np.subtract(score[:j], lost, out=lost)
+                lost *= between > 0  # not another place of the same piece
+                score[j] += np.maximum(lost.max(axis=0), 0)
+            kept[part] = (score * real).max(axis=0) >= least[part]
+        return kept
+
+    def least_distances(self, item: np.ndarray, begin: np.ndarray, end: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For items of equally many words, the least distance to a substring of codes[begin:end], and where that first ends."""
+        w, n, one = int(self.words[item[0]]), len(item), np.uint64(1)
+        length = end - begin
+        at = np.minimum(begin[:, None] + np.arange(int(length.max())), len(codes) - 1)
+        text = codes[at]
+        letter = np.minimum(np.searchsorted(self.letters, text), len(self.letters) - 1)
+        letter = np.where((self.letters[letter] == text) & (at < end[:, None]), letter + 1, 0)
+        rows = np.ascontiguousarray((letter + item[:, None] * (len(self.letters) + 1)).T)
+        up, down = [np.full(n, ~np.uint64(0)) for _ in range(w)], [np.zeros(n, np.uint64) for _ in range(w)]
+        top = ((self.m[item] - 1) % 64).astype(np.uint64)
+        score = self.m[item].astype(np.int64)
+        best, where = score.copy(), begin.astype(np.int64)
+        masks = self.masks
+        for t, row in enumerate(rows):
+            more = less = np.uint64(0)
+            for b in range(w):
+                eq, p, d = masks[b][row], up[b], down[b]
+                y = eq | d
+                eq |= less
+                x = (((eq & p) + p) ^ p) | eq
+                plus, minus = d | ~(x | p), p & x
+                if b == w - 1:
+                    score += ((plus >> top) & one).astype(np.int64) - ((minus >> top) & one).astype(np.int64)
+                out = plus >> np.uint64(63), minus >> np.uint64(63)
+                plus, minus = plus << one | more, minus << one | less
+                up[b], down[b] = minus | ~(y | plus), plus & y
+                more, less = out
+            better = score < best
+            if better.any():
+                best[better], where[better] = score[better], begin[better] + t + 1
+        return best, where
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _slots(codes: np.ndarray, q: int) -> np.ndarray:
+    """The index slot of the q characters from each place on."""
+    n = max(0, len(codes) - q + 1)
+    h = codes[:n].copy()
+    for j in range(1, q):
+        h *= np.uint32(0x01000193)
+        h += codes[j : n + j]
+    return ((h * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOT)).astype(np.int32)
+
+
+def _piece(m: int, k: int) -> int:
+    """The length of an item's pieces; the sum is hits to count and runs by chance (Chernoff's bound) to chain, a character."""
+
+    def work(q: int) -> float:
+        n, share = m // q, SHARE_ONE * SHARE_NEXT ** (q - 1)
+        mean, least = ALIKE * n * (k + 1) * share, n - k
+        chance = 1.0 if mean >= least else math.exp(least - mean + least * math.log(mean / least))
+        return n * share + chance / (k + 1) * RUN
+
+    return min((q for q in PIECES if m // q > k), key=work)
 
 
 class Items:
     """A block of benchmark items, ready to be searched for."""
 
-    def __init__(self, texts: list[str], tables: int):
+    def __init__(self, texts: list[str], tables: int = TABLES):
         self.flat = [_flat(t) for t in texts]
-        raw = pa.array(self.flat, pa.large_string())
-        h, first, _ = word_hashes(*byte_view(raw))
-        windows: dict[int, list[tuple[int, int]]] = {}
-        self.words = np.diff(first)
-        for i, n in enumerate(self.words):
-            if not n:
-                continue
-            w = max(s for s in SIZES if s <= n)
-            for o in sorted({*range(0, n - w + 1, max(1, w // 2)), n - w}):
-                windows.setdefault(w, []).append((i, o))
-        self.sizes = tuple(sorted(windows))
-        self.plans = [_plan(table, self.sizes) for table in range(tables if self.sizes else 0)]
-        self.index: list[dict[int, tuple[np.ndarray, ...]]] = []
-        for table in range(tables if self.sizes else 0):
-            by = {}
-            # each item is walked alone, as words after its end must not count
-            ends = [walk_keys(h[first[i] : first[i + 1]], self.plans[table], self.sizes) if self.words[i] else {} for i in range(len(texts))]
-            for w, places in windows.items():
-                key = np.array([ends[i][w][o] for i, o in places], np.uint64)
-                order = np.argsort(key, kind="stable")
-                there = np.zeros(1 << 16, bool)
-                there[key >> np.uint64(48)] = True
-                by[w] = (there, key[order], np.array([places[k][0] for k in order]), np.array([places[k][1] for k in order]))
-            self.index.append(by)
         self.masks = [self._mask(t) for t in self.flat]
+        self._groups: dict[float, list[Group]] = {}
+
+    def groups(self, max_edits: float) -> list[Group]:
+        """The items in groups of bounded size, items of about one length together."""
+        if not 0 <= max_edits < 1:
+            raise ValueError("max_edits must be from 0 to below 1")
+        if max_edits not in self._groups:
+            allowed = [int(max_edits * len(t)) for t in self.flat]
+            out, ids, chars, letters = [], [], 0, set()
+            for i in sorted((i for i, t in enumerate(self.flat) if t), key=lambda i: len(self.flat[i])):
+                m, now = len(self.flat[i]), letters | set(self.flat[i])
+                if ids and (chars + m > GROUP_CHARS or (len(ids) + 1) * (len(now) + 1) * (m // 64 + 1) > GROUP_MASKS):
+                    out.append(Group(ids, self.flat, allowed))
+                    ids, chars, now = [], 0, set(self.flat[i])
+                ids.append(i)
+                chars, letters = chars + m, now
+            if ids:
+                out.append(Group(ids, self.flat, allowed))
+            self._groups[max_edits] = out
+        return self._groups[max_edits]
 
     @staticmethod
     def _mask(text: str) -> dict[str, int]:
@@ -133,14 +294,16 @@ class Items:
         return out
 
     def distance(self, item: int, text: str) -> int:
-        """Least edit distance between the item and any substring of ``text`` (Myers' bit vectors, one long integer a column)."""
-        if self.flat[item] in text:
-            return 0
-        m, masks = len(self.flat[item]), self.masks[item]
+        """Least edit distance between the item and any substring of ``text``."""
+        return 0 if self.flat[item] in text else self._best(self.masks[item], len(self.flat[item]), text, False)[0]
+
+    @staticmethod
+    def _best(masks: dict[str, int], m: int, text: str, anchored: bool) -> tuple[int, int]:
+        """The least distance to a substring, and its first end (Myers' bit vectors, one long integer a column); anchored: to a prefix."""
         full, last = (1 << m) - 1, 1 << (m - 1)
         up, down, score = full, 0, m
-        best = m
-        for c in text:
+        best, where = m, 0
+        for t, c in enumerate(text, 1):
             eq = masks.get(c, 0)
             x = (((eq & up) + up) ^ up) | eq
             plus, minus = down | ~(x | up) & full, up & x
@@ -149,53 +312,59 @@ class Items:
                 score += 1
             elif minus & last:
                 score -= 1
-            plus, minus = plus << 1 & full, minus << 1 & full
+            plus, minus = plus << 1 & full | anchored, minus << 1 & full
             up, down = minus | ~(y | plus) & full, plus & y
             if score < best:
-                best = score
-        return best
-
-    def candidates(self, h: np.ndarray, first: np.ndarray) -> set[tuple[int, int, int]]:
-        """(document, word where the item would start, item) for all windows that share a key with one of the item's.
-
-        The document is the one in which the window starts; the item's own start may lie before the document's first word.
-        """
-        found: set[tuple[int, int, int]] = set()
-        for table, by in enumerate(self.index):
-            keys = walk_keys(h, self.plans[table], self.sizes)
-            for w, (there, key, item, offset) in by.items():
-                maybe = np.flatnonzero(there[keys[w] >> np.uint64(48)])  # the keys' upper bits first
-                own = keys[w][maybe]
-                lo, hi = np.searchsorted(key, own, "left"), np.searchsorted(key, own, "right")
-                doc = np.searchsorted(first, maybe, "right") - 1
-                for d, p, a, b in zip(doc.tolist(), maybe.tolist(), lo.tolist(), hi.tolist(), strict=True):
-                    found.update((d, p - int(offset[k]), int(item[k])) for k in range(a, b))
-        return found
+                best, where = score, t
+        return best, where
+
+    def verified(self, group: Group, item: np.ndarray, begin: np.ndarray, end: np.ndarray, codes: np.ndarray, joined: str) -> Iterator[tuple[int, int, int, int]]:
+        """(item, distance, begin, end of the match) of the candidates that are within the edits allowed."""
+        order = np.lexsort((end - begin, group.words[item]))
+        words, cut, a = group.words[item[order]], 1024, 0
+        while a < len(order):
+            b = min(a + cut, int(np.searchsorted(words, words[a], "right")))
+            part = order[a:b]
+            if len(part) < MANY or words[a] > MANY_WORDS:
+                got = [self._best(self.masks[group.ids[i]], int(group.m[i]), joined[x:y], False) for i, x, y in zip(item[part].tolist(), begin[part].tolist(), end[part].tolist(), strict=True)]
+                best, where = np.array([s for s, _ in got]), np.array([e for _, e in got]) + begin[part]
+            else:
+                best, where = group.least_distances(item[part], begin[part], end[part], codes)
+            for c in np.flatnonzero(best <= group.k[item[part]]).tolist():
+                i, x, e, score = int(item[part[c]]), int(begin[part[c]]), int(where[c]), int(best[c])
+                own = int(group.ids[i])
+                back = self._best(self._mask(self.flat[own][::-1]), int(group.m[i]), joined[max(x, e - int(group.m[i]) - score) : e][::-1], True)[1]
+                yield own, score, e - back, e
+            a = b
 
     def leaks(self, texts: pa.Array, max_edits: float) -> list[list[dict]]:
-        """Per text: each item that occurs in it within the edits allowed, with the place of its best window."""
+        """Per text: each item that occurs in it within the edits allowed, with the word in which its best match starts."""
         out: list[list[dict]] = [[] for _ in range(len(texts))]
-        if not self.sizes:
+        groups = self.groups(max_edits)
+        if not groups or not len(texts):
             return out
-        data, off = byte_view(_folded(texts))  # as the items: words of other scripts and blanks must hash alike
-        h, first, start = word_hashes(data, off)
+        flat = _folded(texts)
+        joined = "\n".join(flat)  # no folded text or item has one
+        codes = _codes(joined)
+        off = np.cumsum([0, *(len(t) + 1 for t in flat)])
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        tried: set[tuple[int, int, int]] = set()
-        for d, p, item in sorted(self.candidates(h, first)) if len(h) else []:
-            n, allowed = int(self.words[item]), int(max_edits * len(self.flat[item]))
-            slack = 2 + n // 4
-            if best.get((d, item), (1, 0))[0] == 0 or (d, item, p // slack) in tried:
-                continue  # a window nearby has been looked at, with the same surroundings
-            tried.add((d, item, p // slack))
-            a, b = max(int(first[d]), p - 2 * slack), min(int(first[d + 1]), p + n + 2 * slack)
-            if a >= b:
+        for group in groups:
+            found = group.candidates(codes, 0, len(codes))
+            if not found:
                 continue
-            text = data[start[a] : start[b] if b < first[d + 1] else off[d + 1]].tobytes().decode().rstrip(" ")
-            got = self.distance(item, text)
-            if got <= allowed and got < best.get((d, item), (1 << 30, 0))[0]:
-                best[d, item] = (got, max(0, p - int(first[d])))
-        for (d, item), (got, p) in sorted(best.items()):
-            out[d].append({"item": item, "start_word": p, "distance": got, "item_chars": len(self.flat[item])})
+            item, low, high = (np.concatenate(x) for x in zip(*found, strict=True))
+            low, high = np.maximum(low - group.k[item], 0), np.minimum(high + group.m[item] + group.k[item], len(codes))
+            d0, d1 = np.searchsorted(off, low, "right") - 1, np.searchsorted(off, high - 1, "right") - 1
+            spread = np.repeat(np.arange(len(item)), d1 - d0 + 1)  # a candidate may reach into several documents
+            doc = d0[spread] + np.arange(len(spread)) - np.repeat(np.cumsum(d1 - d0 + 1) - (d1 - d0 + 1), d1 - d0 + 1)
+            item, low, high = item[spread], np.maximum(low[spread], off[doc]), np.minimum(high[spread], off[doc + 1] - 1)
+            keep = high - low >= group.m[item] - group.k[item]
+            for own, score, a, _ in self.verified(group, item[keep], low[keep], high[keep], codes, joined):
+                d = int(np.searchsorted(off, a, "right")) - 1
+                best[d, own] = min(best.get((d, own), (1 << 30, 0)), (score, a - int(off[d])))
+        for (d, own), (score, a) in sorted(best.items()):
+            start = a + (flat[d][a : a + 1] == " ")
+            out[d].append({"item": own, "start_word": flat[d].count(" ", 0, start), "distance": score, "item_chars": len(self.flat[own])})
         return out
 
 

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -92,6 +93,46 @@ def test_copies_in_other_cases_and_blanks():
             assert not got[0] and [(x["item"], x["distance"]) for x in got[1]] == [(k, 0)], (k, copy)
 
 
+def test_no_item_within_the_edits_is_missed(monkeypatch):
+    rng = random.Random(11)
+    for round, (letters, max_edits) in enumerate([("ab ", 0.2), ("abcdefgh  ", 0.2), ("abcdefghijklmnopqrstuvwxyzé ", 0.2), ("abcdefghijkl ", 0.05), ("abcdefgh ", 0.4), ("abcd ", 0.0)]):
+        draw = lambda n: "".join(rng.choice(letters) for _ in range(n))  # noqa: E731, B023
+        benchmark = [draw(n) for n in [*range(1, 40), 63, 64, 65, 90, 128, 150, 200] for _ in range(2)]
+        items, texts = D.Items(benchmark, D.TABLES), []
+        for k, item in enumerate(benchmark):
+            w = list(item)
+            for _ in range(rng.randrange(int(max_edits * len(item)) + 2)):
+                at = rng.randrange(len(w) + 1)
+                w[at : at + rng.choice([0, 1, 1])] = rng.choice(["", *letters])
+            if k % 3 == 0:
+                step = int(1 / max_edits) if max_edits else len(item) + 1  # edits evenly spread spoil the most pieces
+                w = [rng.choice(letters) if x % step == step - 1 else c for x, c in enumerate(item)]
+            texts += [draw(30) * (k % 2) + "".join(w) + draw(25) * (k % 5 > 1), draw(rng.randrange(60))]
+        monkeypatch.setattr(D, "MANY", [1, 48][round % 2])
+        monkeypatch.setattr(D, "HITS", [6_000_000, 3_000][round // 2 % 2])
+        got = [{x["item"]: x["distance"] for x in row} for row in items.leaks(pa.array(texts, pa.large_string()), max_edits)]
+        for text, row in zip(texts, got, strict=True):
+            near = {k: items.distance(k, D._flat(text)) for k, t in enumerate(items.flat) if t}
+            assert row == {k: n for k, n in near.items() if n <= int(max_edits * len(items.flat[k]))}
+
+
+def test_typos_over_all_words_and_the_word_found():
+    benchmark = pq.read_table("/root/testdata/sf0.1/benchmark.parquet")["text"].to_pylist()
+    items, rng, near, found = D.Items(benchmark, D.TABLES), random.Random(2), 0, 0
+    for k, text in enumerate(benchmark):
+        for share in (0.2, 0.33, 0.5, 0.75, 1.0):
+            w = text.split()
+            for x in rng.sample(range(len(w)), round(share * len(w))):
+                at = rng.randrange(len(w[x]))
+                w[x] = w[x][:at] + "#" + w[x][at + 1 :]
+            copy = "some words before " + " ".join(w) + " and after"
+            if items.distance(k, D._flat(copy)) <= int(D.MAX_EDITS * len(items.flat[k])):
+                near += 1
+                found += (k, 3) in [(x["item"], x["start_word"]) for x in items.leaks(pa.array([copy], pa.large_string()), D.MAX_EDITS)[0]]
+    assert near > 700 and found / near > 0.95  # a word that has lost its first letter may be left out of the best match
+    assert [(x["item"], x["start_word"]) for x in D.Items(["Zq"]).leaks(pa.array(["", "a b zq c"], pa.large_string()), 0.2)[1]] == [(0, 2)]
+
+
 def test_leaks_odd_inputs(spark):
     docs = spark.createDataFrame([(1, "x Alpha  beta gamma delta\nepsilon zeta y", 1), (1, "x Alpha  beta gamma delta\nepsilon zeta y", 1), (None, None, 2), (3, "", 3), (4, "nothing here at all", 4)], "doc_id long, text string, leaks int")
     bench = spark.createDataFrame([(7, "alpha beta gamma delta epsilon zeta"), (8, None), (9, " "), (7, "alpha beta gamma delta epsilon zeta")], "item_id long, text string")
