@@ -1,19 +1,25 @@
-"""Benchmark decontamination by an exact filter and exact edit distances: an item within the edits allowed is never missed.
-
-Each item of m characters is cut into pieces that don't overlap. An edit spoils at most one piece, so of n pieces n - k are
-found unchanged in any text at k edits or fewer, and they lie within k + 1 neighbouring diagonals (place in the text minus
-place in the item). An inverted index of the pieces gives all places where they occur; hits are counted by item and
-diagonal, in bins first, and the bins that may hold enough are sorted and counted exactly. Diagonals with n - k hits are
-verified: the least edit distance between the item and any substring of the document around them, by Myers' bit vectors,
-many candidates at a time.
-
-The length of an item's pieces is the one with the least work expected among those that leave n - k >= 1; one character
-always does. No recall is given up by the choice.
+"""Benchmark decontamination: CGK embedding, repeated bit-sampling LSH over item-sized windows, exact edit distances.
+
+1. A walk reads a window character by character; at every step a random bit of (table, step, character) decides whether it
+   moves on. The characters read are the window's embedding, and texts a few edits apart read mostly the same ones, as walks
+   that fall out of step meet again (the CGK random walk: edit distance becomes Hamming distance).
+2. The embedding of an item-sized window is the row of the walks that begin at each of its characters, so one walk from each
+   character of a document serves the windows of all items and sizes that hold it. A table samples some steps of a walk; the
+   characters read there are its key. The tables take turns by place in the text, and items are posted under every place in
+   every table, so a window has as many independent draws as it has characters.
+3. A document's place and an item's place of one key make a candidate: the item-sized window on that diagonal, widened by the
+   edits allowed and kept inside the place's own document.
+4. Candidates are verified: the least edit distance between the item and any substring of the window, by Myers' bit vectors,
+   many candidates at a time.
+
+An exact copy is always found: its first walk is the item's first walk, which is no longer than the item. The share of other
+copies found depends on the walk's length and the samples, which are set by the item's length (``STEPS``) from measured recall:
+0.9 or more of what is within ``max_edits`` at 0 to 15 % of characters edited, for items of 1 to 90 words (see the tests).
 """
 
 from __future__ import annotations
 
-import math
+import hashlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -23,30 +29,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .common import byte_view, free_name, row_blocks, text_of
+from .common import byte_view, free_name, process_cache, row_blocks, text_of
+from .words import mix
 
-#: Callers may still name a number of tables, as the filter before this one had; nothing depends on it.
-TABLES = 5
+#: Tables, which take turns by place.
+TABLES = 8
 MAX_EDITS = 0.2
-#: Items sent to the tasks at a time; a larger benchmark takes several passes over the documents.
-BLOCK_BYTES = 8_000_000
-#: Bytes of text searched at a time.
+#: By least item length in characters: steps of a walk, never more than that length, and how many of them are sampled.
+STEPS = ((80, 44, 13), (54, 32, 14), (34, 20, 11), (20, 12, 8), (13, 8, 6), (9, 5, 4), (5, 3, 3), (2, 2, 2), (1, 1, 1))
+#: Items sent to the tasks at a time (their index takes about 100 bytes a byte); a larger benchmark takes several passes.
+BLOCK_BYTES = 2_000_000
+#: Bytes of text walked at a time.
 WALK_BYTES = 400_000
-#: Lengths of pieces to choose from, and what the choice assumes: the chance that two places of texts share one character and
-#: each further one, how much likelier that is within a language, and the work of chaining a run, in hits.
-PIECES = range(1, 9)
-SHARE_ONE, SHARE_NEXT, ALIKE, RUN = 0.04, 0.25, 3, 60
-#: Items that are searched for together: characters, and entries of their bit masks.
-GROUP_CHARS, GROUP_MASKS = 64_000, 4_000_000
-#: Hits held at a time; a text with more is searched in overlapping halves.
+#: Items whose bit masks are held together: entries of their masks.
+GROUP_MASKS = 4_000_000
+#: Hits held at a time; a range of places with more is halved.
 HITS = 6_000_000
-#: Hits of a run up to which they are chained before it is verified.
-CHAIN = 400
-CHAINED = 1024
-#: Bits of an index slot; pieces that share one only cost time.
-SLOT = 18
-#: Longer items, and fewer candidates at a time than this, are verified one by one.
-MANY_WORDS, MANY = 32, 48
+#: Longer items, and fewer candidates at a time than this, are verified one by one; characters verified at a time.
+MANY_WORDS, MANY, VERIFIED = 32, 96, 2_000_000
+#: Candidates cut out of a text at a time, and characters of windows held until they are verified together.
+MOST, HELD = 4096, 8_000_000
+SEED, KEY = np.uint64(0x5851F42D4C957F2D), np.uint64(0x9E3779B97F4A7C15)
+BREAK = ord("\n")
 
 LEAK = StructType([StructField("item", IntegerType()), StructField("start_word", LongType()), StructField("distance", IntegerType()), StructField("item_chars", IntegerType())])
 
@@ -62,29 +66,88 @@ def _folded(texts: pa.Array) -> list[str]:
     return [_flat(raw[a:b].decode("utf-8", "replace")) for a, b in zip(off[:-1], off[1:], strict=True)]
 
 
-class Group:
-    """Some items, with the index of their pieces and their bit masks."""
-
-    def __init__(self, ids: list[int], flat: list[str], allowed: list[int]):
-        self.ids = np.array(ids)
-        codes = [_codes(flat[i]) for i in ids]
-        self.m, self.k = np.array([len(c) for c in codes]), np.array([allowed[i] for i in ids])
-        piece = [_piece(int(m), int(k)) for m, k in zip(self.m, self.k, strict=True)]
-        self.least = np.array([int(m) // q - int(k) for m, k, q in zip(self.m, self.k, piece, strict=True)])
-        self.width = self.k + 2
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _symbols(codes: np.ndarray) -> np.ndarray:
+    """64 random bits for each character: its name in keys, and whether a walk moves on, by step. Zeros at breaks, where a
+    walk stays for good, so that it never reads the next text."""
+    kept = process_cache()
+    if "symbols" not in kept:
+        kept["symbols"] = mix(np.arange(1 << 16, dtype=np.uint64) + SEED)
+        kept["symbols"][BREAK] = 0
+    return kept["symbols"][codes & np.uint32(0xFFFF)]
+
+
+class Walks:
+    """The index of items of about one length: the keys of all their places, in every table."""
+
+    def __init__(self, ids: list[int], codes: list[np.ndarray], steps: int, samples: int, tables: int):
+        self.steps, self.tables = steps, tables
+        draw = np.random.default_rng(steps)
+        self.sampled = [{0, *draw.permutation(np.arange(1, steps))[: samples - 1].tolist()} for _ in range(tables)]
+        size = np.array([len(c) for c in codes])
+        self.item = np.repeat(np.array(ids, np.int32), size)
+        self.offset = (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+        symbols = _symbols(np.concatenate([x for c in codes for x in (c, np.full(steps + 1, BREAK, np.uint32))]))
+        place = np.arange(size.sum()) + np.repeat(np.arange(len(codes)) * (steps + 1), size)
+        left = np.repeat(size, size) - self.offset
+        self.slot = np.uint64(64 - min(26, max(16, int(size.sum()).bit_length() + 4)))
         self.index = []
-        for q in sorted(set(piece)):
-            own = [i for i, p in enumerate(piece) if p == q]
-            slot = np.concatenate([_slots(codes[i], q)[: len(codes[i]) // q * q : q] for i in own])
-            item = np.repeat(own, [len(codes[i]) // q for i in own]).astype(np.int32)
-            offset = np.concatenate([np.arange(len(codes[i]) // q) * q for i in own]).astype(np.int32)
-            order = np.argsort(slot, kind="stable")
-            count = np.bincount(slot, minlength=1 << SLOT).astype(np.int32)
-            item, offset = item[order], offset[order]
-            self.index.append((q, count, (np.cumsum(count) - count).astype(np.int32), item, (self.m[item] - offset).astype(np.int32), (1 / self.width)[item].astype(np.float64), offset // q))
+        for t in range(tables):
+            key, last = self._keys(symbols, place, t)
+            whole = np.flatnonzero(last - place < left)  # walks that stay inside the item
+            order = whole[np.argsort(key[whole], kind="stable")].astype(np.int32)
+            seen = np.zeros(1 << (64 - int(self.slot)), bool)
+            seen[key[order] >> self.slot] = True
+            self.index.append((seen, key[order], order))
+
+    def _keys(self, symbols: np.ndarray, place: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
+        """(key, last place read) of the walks that begin at the places."""
+        at, key, sampled = place.copy(), np.zeros(len(place), np.uint64), self.sampled[table]
+        for step in range(self.steps):
+            if step:
+                at += ((s >> np.uint64((step + 7 * table) % 64)) & np.uint64(1)).astype(np.int64)
+            s = symbols[at]
+            if step in sampled:
+                key ^= s
+                key *= KEY
+                key ^= key >> np.uint64(29)
+        return key, at
+
+    def hits(self, symbols: np.ndarray, first: int, begin: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place, item, place in the item) of equal keys, for places begin..end of a text; ``symbols`` are its from ``first`` on."""
+        found, total = [], 0
+        for t, (seen, keys, post) in enumerate(self.index):
+            place = np.arange(begin + (t - begin) % self.tables, end, self.tables)
+            key, _ = self._keys(symbols, place - first, t)
+            may = np.flatnonzero(seen[key >> self.slot])
+            key, place = key[may], place[may]
+            low = np.searchsorted(keys, key)
+            count = np.searchsorted(keys, key, "right") - low
+            some = np.flatnonzero(count)
+            total += int(count.sum())
+            found.append((place[some], low[some], count[some], post))
+        if total > HITS and end - begin > 4 * self.tables:
+            half = (begin + end) // 2
+            yield from self.hits(symbols, first, begin, half)
+            yield from self.hits(symbols, first, half, end)
+            return
+        for place, low, count, post in found:
+            p = post[np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
+            yield np.repeat(place, count), self.item[p], self.offset[p]
+
+
+class Group:
+    """Some items with their bit masks."""
+
+    def __init__(self, ids: list[int], codes: list[np.ndarray]):
+        self.ids, self.codes = np.array(ids), codes
+        self.order = np.argsort(self.ids)
+        self.m = np.array([len(c) for c in codes])
         self.letters = np.unique(np.concatenate(codes))
         self.words = (self.m + 63) // 64
-        self.codes = codes
         self._masks: np.ndarray | None = None
 
     @property
@@ -98,107 +161,6 @@ class Group:
             self._masks = out.reshape(len(out), -1)
         return self._masks
 
-    def candidates(self, codes: np.ndarray, a: int, b: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(item, first, last diagonal) wherever enough pieces are found in codes[a:b]."""
-        n, found, total = b - a, [], 0
-        for q, count, start, *rest in self.index:
-            slot = _slots(codes[a:b], q)
-            reps = count[slot]
-            at = np.flatnonzero(reps)
-            total += int(reps[at].sum())
-            found.append((at, reps[at], start[slot[at]], *rest))
-        reach = int((self.m + self.k).max())
-        if total > HITS and n > 4 * reach:
-            mid = (a + b) // 2
-            return self.candidates(codes, a, mid + reach) + self.candidates(codes, mid, b)
-        if not total:
-            return []
-        bins = ((n + self.m) / self.width).astype(np.int64) + 3
-        base = (np.cumsum(bins) - bins).astype(np.float64)
-        binned = int(bins.sum()) <= 2 * HITS
-        posts, places, keys = [], [], []
-        for at, reps, start, item, shift, inverse, _ in found:
-            posts.append(np.repeat(start - (np.cumsum(reps) - reps), reps) + np.arange(int(reps.sum())))
-            places.append(np.repeat(at.astype(np.float64), reps))
-            if binned:
-                key = inverse[posts[-1]]
-                key *= places[-1]
-                key += (base[item] + shift * inverse)[posts[-1]]  # the bin of the item's diagonal
-                keys.append(key.astype(np.int64))
-        if binned:
-            seen = np.bincount(keys[0] if len(keys) == 1 else np.concatenate(keys), minlength=int(bins.sum()) + 1)
-            full = seen[:-1] + seen[1:] >= np.repeat(self.least, bins)  # k + 1 diagonals lie in two neighbouring bins
-            ok = np.zeros(len(seen), bool)
-            ok[:-1] = full
-            ok[1:] |= full
-            for x, key in enumerate(keys):
-                keep = np.flatnonzero(ok[key])
-                posts[x], places[x] = posts[x][keep], places[x][keep]
-        own, diagonal, piece = (np.concatenate(x) for x in zip(*((f[3][k], at.astype(np.int64) + f[4][k], f[6][k]) for f, k, at in zip(found, posts, places, strict=True)), strict=True))
-        if not len(own):
-            return []  # diagonals are counted from -m, so none is below 0
-        v = np.sort(own.astype(np.int64) << np.int64(47) | diagonal.astype(np.int64) << np.int64(19) | piece)
-        own, diagonal = v >> np.int64(47), v >> np.int64(19) & np.int64((1 << 28) - 1)
-        i = np.arange(len(v))
-        j = i + self.least[own] - 1
-        i = i[j < len(v)]
-        j = j[i]
-        enough = (own[i] == own[j]) & (diagonal[j] - diagonal[i] <= self.k[own[i]])
-        i, j = i[enough], j[enough]
-        if not len(i):
-            return []
-        new = np.ones(len(i), bool)
-        new[1:] = (own[i[1:]] != own[i[:-1]]) | (diagonal[i[1:]] > diagonal[j[:-1]])
-        at = np.flatnonzero(new)
-        first, last = i[at], j[np.append(at[1:], len(i)) - 1]
-        kept = self.chained(first, last, own, diagonal, v & np.int64((1 << 19) - 1))
-        first, last = first[kept], last[kept]
-        which = own[first]
-        return [(which, diagonal[first] - self.m[which] + a, diagonal[last] - self.m[which] + a)]
-
-    def chained(self, first: np.ndarray, last: np.ndarray, own: np.ndarray, diagonal: np.ndarray, piece: np.ndarray) -> np.ndarray:
-        """Which runs of hits first..last hold a chain of pieces in order that can be within the edits allowed.
-
-        Between two pieces of a chain lie as many edits as there are pieces or as the diagonal moves, whichever is more. So the
-        pieces of a chain less the moves beyond the pieces passed over are n - k or more in any text at k edits or fewer.
-        """
-        hits = last - first + 1
-        kept = hits > CHAIN  # not worth it; to be verified as they are
-        order = np.argsort(hits, kind="stable")[: int((~kept).sum())]
-        least = self.least[own[first]]
-        a = 0
-        while a < len(order):
-            part = order[a : a + CHAINED]
-            part = part[hits[part] <= max(12, hits[part[0]] * 5 // 4)]
-            a += len(part)
-            h = int(hits[part].max())
-            k = first[part] + np.arange(h)[:, None]
-            there = k <= last[part]
-            k = np.minimum(k, len(own) - 1)
-            by = np.sort(np.where(there, piece[k] << np.int64(28) | diagonal[k] - diagonal[first[part]], np.int64(1) << np.int64(60)), axis=0)
-            o = by >> np.int64(28)
-            real = o < 1 << 20
-            distinct = real.copy()
-            distinct[1:] &= o[1:] != o[:-1]
-            many = np.flatnonzero(distinct.sum(axis=0) >= least[part])
-            if not len(many):
-                continue
-            part, real = part[many], real[:, many]
-            o, d = np.where(real, o[:, many], 1 << 20).astype(np.int32), (by[:, many] & np.int64((1 << 28) - 1)).astype(np.int32)
-            score = real.astype(np.int32)
-            for j in range(1, int(real.sum(axis=1).astype(bool).sum())):
-                between = o[j] - o[:j]
-                lost = d[:j] - d[j]
-                np.abs(lost, out=lost)
-                lost -= between
-                lost += 1
-                np.maximum(lost, 0, out=lost)
-                np.subtract(score[:j], lost, out=lost)
-                lost *= between > 0  # not another place of the same piece
-                score[j] += np.maximum(lost.max(axis=0), 0)
-            kept[part] = (score * real).max(axis=0) >= least[part]
-        return kept
-
     def least_distances(self, item: np.ndarray, begin: np.ndarray, end: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For items of equally many words, the least distance to a substring of codes[begin:end], and where that first ends."""
         w, n, one = int(self.words[item[0]]), len(item), np.uint64(1)
@@ -233,58 +195,40 @@ class Group:
         return best, where
 
 
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-
-
-def _slots(codes: np.ndarray, q: int) -> np.ndarray:
-    """The index slot of the q characters from each place on."""
-    n = max(0, len(codes) - q + 1)
-    h = codes[:n].copy()
-    for j in range(1, q):
-        h *= np.uint32(0x01000193)
-        h += codes[j : n + j]
-    return ((h * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOT)).astype(np.int32)
-
-
-def _piece(m: int, k: int) -> int:
-    """The length of an item's pieces; the sum is hits to count and runs by chance (Chernoff's bound) to chain, a character."""
-
-    def work(q: int) -> float:
-        n, share = m // q, SHARE_ONE * SHARE_NEXT ** (q - 1)
-        mean, least = ALIKE * n * (k + 1) * share, n - k
-        chance = 1.0 if mean >= least else math.exp(least - mean + least * math.log(mean / least))
-        return n * share + chance / (k + 1) * RUN
-
-    return min((q for q in PIECES if m // q > k), key=work)
-
-
 class Items:
-    """A block of benchmark items, ready to be searched for."""
-
-    def __init__(self, texts: list[str], tables: int = TABLES):
-        self.flat = [_flat(t) for t in texts]
-        self.masks = [self._mask(t) for t in self.flat]
-        self._groups: dict[float, list[Group]] = {}
+    """A block of benchmark items, ready to be searched for within ``max_edits`` of an item's characters."""
 
-    def groups(self, max_edits: float) -> list[Group]:
-        """The items in groups of bounded size, items of about one length together."""
+    def __init__(self, texts: list[str], max_edits: float = MAX_EDITS, tables: int = TABLES):
         if not 0 <= max_edits < 1:
             raise ValueError("max_edits must be from 0 to below 1")
-        if max_edits not in self._groups:
-            allowed = [int(max_edits * len(t)) for t in self.flat]
-            out, ids, chars, letters = [], [], 0, set()
-            for i in sorted((i for i, t in enumerate(self.flat) if t), key=lambda i: len(self.flat[i])):
-                m, now = len(self.flat[i]), letters | set(self.flat[i])
-                if ids and (chars + m > GROUP_CHARS or (len(ids) + 1) * (len(now) + 1) * (m // 64 + 1) > GROUP_MASKS):
-                    out.append(Group(ids, self.flat, allowed))
-                    ids, chars, now = [], 0, set(self.flat[i])
-                ids.append(i)
-                chars, letters = chars + m, now
-            if ids:
-                out.append(Group(ids, self.flat, allowed))
-            self._groups[max_edits] = out
-        return self._groups[max_edits]
+        self.tables = tables
+        self.flat = [_flat(t) for t in texts]
+        self.masks = [self._mask(t) for t in self.flat]
+        self.m = np.array([len(t) for t in self.flat], np.int64)
+        self.k = np.array([int(max_edits * len(t)) for t in self.flat], np.int64)
+        codes = [_codes(t) for t in self.flat]
+        by_size = sorted((i for i, t in enumerate(self.flat) if t), key=lambda i: len(self.flat[i]))
+        self.walks = []
+        for least, steps, samples in STEPS:
+            own = [i for i in by_size if len(self.flat[i]) >= least]
+            by_size = by_size[: len(by_size) - len(own)]
+            if own:
+                self.walks.append(Walks(own, [codes[i] for i in own], steps, samples, tables))
+        self.groups, self.group_of = [], np.zeros(len(texts), np.int64)
+        ids, letters = [], set()
+        for i in sorted((i for i, t in enumerate(self.flat) if t), key=lambda i: len(self.flat[i])):
+            now = letters | set(self.flat[i])
+            if ids and (len(ids) + 1) * (len(now) + 1) * (len(self.flat[i]) // 64 + 1) > GROUP_MASKS:
+                self._close(ids, codes)
+                ids, now = [], set(self.flat[i])
+            ids.append(i)
+            letters = now
+        if ids:
+            self._close(ids, codes)
+
+    def _close(self, ids: list[int], codes: list[np.ndarray]) -> None:
+        self.group_of[ids] = len(self.groups)
+        self.groups.append(Group(ids, [codes[i] for i in ids]))
 
     @staticmethod
     def _mask(text: str) -> dict[str, int]:
@@ -318,63 +262,115 @@ class Items:
                 best, where = score, t
         return best, where
 
-    def verified(self, group: Group, item: np.ndarray, begin: np.ndarray, end: np.ndarray, codes: np.ndarray, joined: str) -> Iterator[tuple[int, int, int, int]]:
-        """(item, distance, begin, end of the match) of the candidates that are within the edits allowed."""
+    def candidates(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(document, item, begin, end): windows of the documents codes[starts[d]:ends[d]] that may hold the item."""
+        runs, span = [], WALK_BYTES // self.tables * self.tables
+        for walks in self.walks:
+            for a in range(0, len(codes), span):
+                b = min(a + span, len(codes))
+                symbols = _symbols(np.concatenate([codes[a : b + walks.steps], np.full(walks.steps, BREAK, np.uint32)]))
+                for place, item, offset in walks.hits(symbols, a, a, b):
+                    if len(place):
+                        runs.append(self._runs(np.searchsorted(starts, place, "right") - 1, item.astype(np.int64), place - offset, place - offset))
+        if not runs:
+            return (np.zeros(0, np.int64),) * 4
+        doc, item, low, high = self._runs(*(np.concatenate(x) for x in zip(*runs, strict=True)))
+        begin, end = np.maximum(low - self.k[item], starts[doc]), np.minimum(high + self.m[item] + self.k[item], ends[doc])
+        keep = end - begin >= self.m[item] - self.k[item]
+        return doc[keep], item[keep], begin[keep], end[keep]
+
+    def _runs(self, doc: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ranges low..high of diagonals, by document and item; those no further apart than the edits allowed become one."""
+        order = np.lexsort((low, item, doc))
+        doc, item, low, high = doc[order], item[order], low[order], high[order]
+        other = np.ones(len(doc), bool)
+        other[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
+        shift = np.cumsum(other) << np.int64(40)
+        so_far = np.maximum.accumulate(high + shift) - shift
+        new = other.copy()
+        new[1:] |= low[1:] - so_far[:-1] > self.k[item[1:]] + 1
+        at = np.flatnonzero(new)
+        return doc[at], item[at], low[at], np.maximum.reduceat(high, at)
+
+    def verified(self, group: Group, own: np.ndarray, begin: np.ndarray, end: np.ndarray, codes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(candidate, distance, begin of the match in its window) of the group's candidates within the edits allowed."""
+        item = group.order[np.searchsorted(group.ids, own, sorter=group.order)]
         order = np.lexsort((end - begin, group.words[item]))
-        words, cut, a = group.words[item[order]], 1024, 0
+        words, length, a = group.words[item[order]], (end - begin)[order], 0
+        text = lambda x, y: codes[x:y].tobytes().decode("utf-32-le", "surrogatepass")
         while a < len(order):
-            b = min(a + cut, int(np.searchsorted(words, words[a], "right")))
+            b = int(np.searchsorted(words, words[a], "right"))
+            b = a + max(1, int(np.searchsorted(length[a:b] * np.arange(1, b - a + 1), VERIFIED, "right")))
             part = order[a:b]
             if len(part) < MANY or words[a] > MANY_WORDS:
-                got = [self._best(self.masks[group.ids[i]], int(group.m[i]), joined[x:y], False) for i, x, y in zip(item[part].tolist(), begin[part].tolist(), end[part].tolist(), strict=True)]
-                best, where = np.array([s for s, _ in got]), np.array([e for _, e in got]) + begin[part]
+                got = [self._best(self.masks[i], int(self.m[i]), text(x, y), False) for i, x, y in zip(own[part].tolist(), begin[part].tolist(), end[part].tolist(), strict=True)]
+                best, where = np.array([n for n, _ in got]), np.array([e for _, e in got]) + begin[part]
             else:
                 best, where = group.least_distances(item[part], begin[part], end[part], codes)
-            for c in np.flatnonzero(best <= group.k[item[part]]).tolist():
-                i, x, e, score = int(item[part[c]]), int(begin[part[c]]), int(where[c]), int(best[c])
-                own = int(group.ids[i])
-                back = self._best(self._mask(self.flat[own][::-1]), int(group.m[i]), joined[max(x, e - int(group.m[i]) - score) : e][::-1], True)[1]
-                yield own, score, e - back, e
+            for c in np.flatnonzero(best <= self.k[own[part]]).tolist():
+                i, x, e, score = int(own[part[c]]), int(begin[part[c]]), int(where[c]), int(best[c])
+                back = self._best(self._mask(self.flat[i][::-1]), len(self.flat[i]), text(max(x, e - len(self.flat[i]) - score), e)[::-1], True)[1]
+                yield int(part[c]), score, e - back - x
             a = b
 
-    def leaks(self, texts: pa.Array, max_edits: float) -> list[list[dict]]:
+    def leaks(self, texts: pa.Array) -> list[list[dict]]:
         """Per text: each item that occurs in it within the edits allowed, with the word in which its best match starts."""
-        out: list[list[dict]] = [[] for _ in range(len(texts))]
-        groups = self.groups(max_edits)
-        if not groups or not len(texts):
-            return out
-        flat = _folded(texts)
-        joined = "\n".join(flat)  # no folded text or item has one
-        codes = _codes(joined)
-        off = np.cumsum([0, *(len(t) + 1 for t in flat)])
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for group in groups:
-            found = group.candidates(codes, 0, len(codes))
-            if not found:
-                continue
-            item, low, high = (np.concatenate(x) for x in zip(*found, strict=True))
-            low, high = np.maximum(low - group.k[item], 0), np.minimum(high + group.m[item] + group.k[item], len(codes))
-            d0, d1 = np.searchsorted(off, low, "right") - 1, np.searchsorted(off, high - 1, "right") - 1
-            spread = np.repeat(np.arange(len(item)), d1 - d0 + 1)  # a candidate may reach into several documents
-            doc = d0[spread] + np.arange(len(spread)) - np.repeat(np.cumsum(d1 - d0 + 1) - (d1 - d0 + 1), d1 - d0 + 1)
-            item, low, high = item[spread], np.maximum(low[spread], off[doc]), np.minimum(high[spread], off[doc + 1] - 1)
-            keep = high - low >= group.m[item] - group.k[item]
-            for own, score, a, _ in self.verified(group, item[keep], low[keep], high[keep], codes, joined):
-                d = int(np.searchsorted(off, a, "right")) - 1
-                best[d, own] = min(best.get((d, own), (1 << 30, 0)), (score, a - int(off[d])))
-        for (d, own), (score, a) in sorted(best.items()):
-            start = a + (flat[d][a : a + 1] == " ")
-            out[d].append({"item": own, "start_word": flat[d].count(" ", 0, start), "distance": score, "item_chars": len(self.flat[own])})
+        held: list[tuple[np.ndarray, ...]] = []
+        chars = 0
+        for a, b in row_blocks(texts, WALK_BYTES) if self.groups else ():
+            # no folded text or item has a break; each text begins where the tables' turns begin, so none depends on those before it
+            flat = _folded(texts.slice(a, b - a))
+            padded = [t + "\n" * (self.tables - len(t) % self.tables) for t in flat]
+            codes = _codes("".join(padded))
+            starts = np.cumsum([0, *(len(t) for t in padded)])[:-1]
+            doc, item, begin, end = self.candidates(codes, starts, starts + [len(t) for t in flat])
+            for x in range(0, len(doc), MOST):
+                y = slice(x, x + MOST)
+                size = (end - begin)[y]
+                window = codes[np.repeat(begin[y] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+                held.append((doc[y] + a, item[y], begin[y] - starts[doc[y]], size, window))
+                chars += len(window)
+                if chars > HELD:
+                    self._keep(held, best)
+                    held, chars = [], 0
+        if held:
+            self._keep(held, best)
+        out: list[list[dict]] = [[] for _ in range(len(texts))]
+        last, flat = -1, [""]
+        for (d, own), (score, begin) in sorted(best.items()):
+            if d != last:
+                last, flat = d, _folded(texts.slice(d, 1))
+            start = begin + (flat[0][begin : begin + 1] == " ")
+            out[d].append({"item": own, "start_word": flat[0].count(" ", 0, start), "distance": score, "item_chars": len(self.flat[own])})
         return out
 
+    def _keep(self, held: list[tuple[np.ndarray, ...]], best: dict[tuple[int, int], tuple[int, int]]) -> None:
+        """Verify the windows held; ``best`` gets the least (distance, begin) by document and item."""
+        doc, item, first, size, codes = (np.concatenate(x) for x in zip(*held, strict=True))
+        end = np.cumsum(size)
+        for g in np.unique(self.group_of[item]).tolist():
+            own = np.flatnonzero(self.group_of[item] == g)
+            for c, score, begin in self.verified(self.groups[g], item[own], (end - size)[own], end[own], codes):
+                at = int(doc[own[c]]), int(item[own[c]])
+                best[at] = min(best.get(at, (1 << 30, 0)), (score, begin + int(first[own[c]])))
+
+
+def _items(texts: list[str], max_edits: float, tables: int) -> Items:
+    """The block of items made ready; a worker keeps the last one for its next tasks."""
+    key = hashlib.blake2b("\0".join(texts).encode("utf-8", "surrogatepass"), digest_size=16).digest(), len(texts), max_edits, tables
+    kept = process_cache()
+    if kept.get("items", (None,))[0] != key:
+        kept["items"] = key, Items(texts, max_edits, tables)
+    return kept["items"][1]
+
 
 def _scanned(batches: Iterator[pa.RecordBatch], texts: list[str], tables: int, max_edits: float, text_col: str, name: str) -> Iterator[pa.RecordBatch]:
-    items = Items(texts, tables)
+    items = _items(texts, max_edits, tables)
     kind = pa.list_(pa.struct([("item", pa.int32()), ("start_word", pa.int64()), ("distance", pa.int32()), ("item_chars", pa.int32())]))
     for batch in batches:
         rows = text_of(batch, text_col)
-        found = [x for a, b in row_blocks(rows, WALK_BYTES) for x in items.leaks(rows.slice(a, b - a), max_edits)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*batch.schema.names, name])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(items.leaks(rows), kind)], names=[*batch.schema.names, name])
 
 
 def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple]]:
@@ -394,7 +390,9 @@ def scan_leaks(docs: DataFrame, items: list[str], text_col: str = "text", name:
     """``docs`` with an array column ``name`` of (item, start_word, distance, item_chars); ``item`` indexes ``items``.
 
     One pass over whole texts, no shuffle. Null and empty texts have an empty array. Case and runs of white space don't
-    count in the distance; ``max_edits`` is the share of the item's characters that may be edited.
+    count in the distance; ``max_edits`` is the share of the item's characters that may be edited. Of several matches of
+    one item the least distance counts, then the first place. A row's result depends on its own text only, not on the rows
+    beside it. Long texts are walked in parts; the items are sent to the tasks once a block.
     """
     kept = docs.drop(name)
     schema = StructType([*kept.schema.fields]).add(name, ArrayType(LEAK))
@@ -404,7 +402,9 @@ def scan_leaks(docs: DataFrame, items: list[str], text_col: str = "text", name:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", **options) -> DataFrame:
     """(doc_id, item_id, start_word, distance, item_chars): a row for each item that occurs in a document.
 
-    Repeated documents and repeated items give rows each. Without documents or items the result is empty.
+    Repeated documents and repeated items give rows each; null ids are kept as they are, null or blank items are left out.
+    Without documents or items the result is empty. Other columns of either table are not read. The documents are read once
+    for every ``BLOCK_BYTES`` of items.
     """
     spark: SparkSession = docs.sparkSession
     own = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
@@ -419,7 +419,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", **options) -> DataFrame:
-    """``docs`` without the documents in which an item occurs."""
+    """``docs`` without the documents in which an item occurs; columns, nulls, repeated and empty rows stay as they are."""
     out = docs
     name = free_name(docs, "_leaks")
     for block in item_blocks(benchmark, item_id, item_text):

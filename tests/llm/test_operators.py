@@ -13,7 +13,6 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from docengine.llm import decontaminate as D
 from docengine.llm import line_dedup as L
 from docengine.llm import matroska as M
 from docengine.llm import quality_knn as Q
@@ -25,124 +24,6 @@ from docengine.llm import url_filter as U
 DOCS = "/root/testdata/sf0.001/documents.parquet"
 
 
-# benchmark decontamination
-
-
-def sellers(item, text):
-    row = [0] * (len(text) + 1)
-    for a in item:
-        new = [row[0] + 1]
-        for j, b in enumerate(text):
-            new.append(min(row[j] + (a != b), row[j + 1] + 1, new[j] + 1))
-        row = new
-    return min(row)
-
-
-def test_distance_is_exact():
-    rng = random.Random(3)
-    for _ in range(40):
-        item = "".join(rng.choice("abc ") for _ in range(rng.randrange(1, 90))).strip() or "a"
-        text = "".join(rng.choice("abc ") for _ in range(rng.randrange(0, 120)))
-        items = D.Items([item], 1)
-        assert items.distance(0, text) == sellers(items.flat[0], text)
-
-
-def test_recall_of_edited_items():
-    rng = random.Random(5)
-    vocab = [f"w{k}" for k in range(400)]
-    benchmark = [" ".join(rng.choice(vocab) for _ in range(rng.choice([6, 12, 25, 45, 90]))) for _ in range(30)]
-    items, near, found, clean = D.Items(benchmark, D.TABLES), 0, 0, []
-    for _ in range(300):
-        k = rng.randrange(len(benchmark))
-        w = benchmark[k].split()
-        for _ in range(rng.choice([0, 1, 2, 3])):
-            w[rng.randrange(len(w))] = rng.choice(vocab)
-        text = " ".join([*(rng.choice(vocab) for _ in range(50)), *w, *(rng.choice(vocab) for _ in range(50))])
-        if items.distance(k, D._flat(text)) <= int(D.MAX_EDITS * len(items.flat[k])):
-            near += 1
-            found += any(x["item"] == k for x in items.leaks(pa.array([text], pa.large_string()), D.MAX_EDITS)[0])
-        clean.append(" ".join(rng.choice(vocab) for _ in range(150)))
-    assert near > 150 and found / near >= 0.9
-    assert not any(items.leaks(pa.array(clean, pa.large_string()), D.MAX_EDITS))
-
-
-def test_documents_that_begin_inside_an_item():
-    rng = random.Random(8)
-    vocab = [f"w{k}" for k in range(400)]
-    benchmark = [" ".join(rng.choice(vocab) for _ in range(40)) for _ in range(30)]
-    items, near, found = D.Items(benchmark, D.TABLES), 0, 0
-    for k, text in enumerate(benchmark):
-        for cut in (2, 4, 6, 7):
-            rest = " ".join([*text.split()[cut:], *(rng.choice(vocab) for _ in range(30))])
-            if items.distance(k, rest) > int(D.MAX_EDITS * len(items.flat[k])):
-                continue
-            near += 1
-            rows = ["other words stand here", rest, "", rest]
-            got = [[(x["item"], x["start_word"]) for x in r] for r in items.leaks(pa.array(rows, pa.large_string()), D.MAX_EDITS)]
-            assert not got[0] and not got[2] and got[1] == got[3]
-            found += got[1] == [(k, 0)]
-    assert near > 80 and found / near >= 0.9
-
-
-def test_copies_in_other_cases_and_blanks():
-    benchmark = ["Сегодня мы читаем старую книгу о дальних морях и кораблях", "élan über été öffnen çà où naïve garçon être", "ο λόγος του ανθρώπου και της πόλεως είναι μεγάλος", "one two three four five six seven eight"]
-    items = D.Items(benchmark, D.TABLES)
-    for k, text in enumerate(benchmark):
-        for copy in (text, text.upper(), text.title(), text.replace(" ", "\u00a0"), text.replace(" ", "\u2003\u2028"), text.replace(" ", "\x1f")):
-            got = items.leaks(pa.array(["before it", f"x y\u00a0z {copy} after"], pa.large_string()), D.MAX_EDITS)
-            assert not got[0] and [(x["item"], x["distance"]) for x in got[1]] == [(k, 0)], (k, copy)
-
-
-def test_no_item_within_the_edits_is_missed(monkeypatch):
-    rng = random.Random(11)
-    for round, (letters, max_edits) in enumerate([("ab ", 0.2), ("abcdefgh  ", 0.2), ("abcdefghijklmnopqrstuvwxyzé ", 0.2), ("abcdefghijkl ", 0.05), ("abcdefgh ", 0.4), ("abcd ", 0.0)]):
-        draw = lambda n: "".join(rng.choice(letters) for _ in range(n))  # noqa: E731, B023
-        benchmark = [draw(n) for n in [*range(1, 40), 63, 64, 65, 90, 128, 150, 200] for _ in range(2)]
-        items, texts = D.Items(benchmark, D.TABLES), []
-        for k, item in enumerate(benchmark):
-            w = list(item)
-            for _ in range(rng.randrange(int(max_edits * len(item)) + 2)):
-                at = rng.randrange(len(w) + 1)
-                w[at : at + rng.choice([0, 1, 1])] = rng.choice(["", *letters])
-            if k % 3 == 0:
-                step = int(1 / max_edits) if max_edits else len(item) + 1  # edits evenly spread spoil the most pieces
-                w = [rng.choice(letters) if x % step == step - 1 else c for x, c in enumerate(item)]
-            texts += [draw(30) * (k % 2) + "".join(w) + draw(25) * (k % 5 > 1), draw(rng.randrange(60))]
-        monkeypatch.setattr(D, "MANY", [1, 48][round % 2])
-        monkeypatch.setattr(D, "HITS", [6_000_000, 3_000][round // 2 % 2])
-        got = [{x["item"]: x["distance"] for x in row} for row in items.leaks(pa.array(texts, pa.large_string()), max_edits)]
-        for text, row in zip(texts, got, strict=True):
-            near = {k: items.distance(k, D._flat(text)) for k, t in enumerate(items.flat) if t}
-            assert row == {k: n for k, n in near.items() if n <= int(max_edits * len(items.flat[k]))}
-
-
-def test_typos_over_all_words_and_the_word_found():
-    benchmark = pq.read_table("/root/testdata/sf0.1/benchmark.parquet")["text"].to_pylist()
-    items, rng, near, found = D.Items(benchmark, D.TABLES), random.Random(2), 0, 0
-    for k, text in enumerate(benchmark):
-        for share in (0.2, 0.33, 0.5, 0.75, 1.0):
-            w = text.split()
-            for x in rng.sample(range(len(w)), round(share * len(w))):
-                at = rng.randrange(len(w[x]))
-                w[x] = w[x][:at] + "#" + w[x][at + 1 :]
-            copy = "some words before " + " ".join(w) + " and after"
-            if items.distance(k, D._flat(copy)) <= int(D.MAX_EDITS * len(items.flat[k])):
-                near += 1
-                found += (k, 3) in [(x["item"], x["start_word"]) for x in items.leaks(pa.array([copy], pa.large_string()), D.MAX_EDITS)[0]]
-    assert near > 700 and found / near > 0.95  # a word that has lost its first letter may be left out of the best match
-    assert [(x["item"], x["start_word"]) for x in D.Items(["Zq"]).leaks(pa.array(["", "a b zq c"], pa.large_string()), 0.2)[1]] == [(0, 2)]
-
-
-def test_leaks_odd_inputs(spark):
-    docs = spark.createDataFrame([(1, "x Alpha  beta gamma delta\nepsilon zeta y", 1), (1, "x Alpha  beta gamma delta\nepsilon zeta y", 1), (None, None, 2), (3, "", 3), (4, "nothing here at all", 4)], "doc_id long, text string, leaks int")
-    bench = spark.createDataFrame([(7, "alpha beta gamma delta epsilon zeta"), (8, None), (9, " "), (7, "alpha beta gamma delta epsilon zeta")], "item_id long, text string")
-    got = D.find_leaks(docs, bench).collect()
-    assert {(r["doc_id"], r["item_id"], r["distance"], r["start_word"]) for r in got} == {(1, 7, 0, 1)} and len(got) == 4
-    assert D.find_leaks(docs.limit(0), bench).count() == 0 and D.find_leaks(docs, bench.limit(0)).count() == 0
-    kept = D.drop_contaminated(docs, bench)
-    assert kept.columns == docs.columns and sorted(r["leaks"] for r in kept.collect()) == [2, 3, 4]
-
-
 # secret scan
 
 
