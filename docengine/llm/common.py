@@ -15,12 +15,17 @@ from pyspark.sql import functions as F
 
 #: Rows of a narrow key table up to which a side is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 400_000
+#: Bits of a broadcast Bloom filter (2 MB of bits, some 6 MB as a hash table).
+BLOOM_BITS = 1 << 24
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one is set only where none is named."""
+    """The shared folder named by ``spark.checkpoint.dir``. Where none is named, a temporary one is set if driver and executors
+    are one process; on a cluster that is an error, as its machines don't share such a folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="docengine-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -34,7 +39,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared work folder and read it back: lineage ends here and survives lost executors."""
     path = new_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written = path
+    return out
+
+
+def drop_step(df: DataFrame | None) -> None:
+    """Delete what ``materialize`` wrote for ``df``, once nothing reads it any more."""
+    if df is not None and getattr(df, "written", None):
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        df.written = None
 
 
 def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -42,6 +58,18 @@ def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> Da
     return F.broadcast(df) if rows <= limit else df
 
 
+def only_rows(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """The rows of ``df`` whose key may be among the wanted ones: a Bloom filter of ``BLOOM_BITS`` bits, whose size does not
+    depend on the data, is broadcast. Keeps all that are wanted, and others by chance."""
+    place = lambda c: F.xxhash64(c).bitwiseAND(F.lit(BLOOM_BITS - 1))
+    word, bit = free_name(df, "_word"), free_name(df, "_bit")
+    bits = wanted.select(place(wanted[wanted_key]).alias("at")).selectExpr(f"at >> 6 AS {word}", f"shiftleft(1L, cast(at & 63 AS int)) AS {bit}")
+    bits = bits.groupBy(word).agg(F.bit_or(bit).alias(bit))  # at most BLOOM_BITS / 64 rows
+    own = place(df[key])
+    hit = df.join(F.broadcast(bits), F.shiftright(own, 6) == bits[word])
+    return hit.filter(hit[bit].bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), own.bitwiseAND(F.lit(63)).cast("int"))) != 0).select(*[df[c] for c in df.columns])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

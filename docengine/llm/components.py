@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop_step, materialize
 
 
 def _stars(edges: DataFrame, name: str) -> DataFrame:
@@ -27,9 +27,12 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct()
     before = None
     while True:
-        now = _stars(now, name)
+        used, now = now, _stars(now, name)
+        drop_step(used)
         count, mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if (count, mark) == before or not count:
             break
         before = (count, mark)
-    return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    out = materialize(now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()), name)
+    drop_step(now)
+    return out

@@ -2,31 +2,35 @@
 
 1. Each text becomes a set of distinct k-word shingles (64-bit hashes), a 128-bit fingerprint of that set, and a signature
    of ``coords`` least hashes. Equal sets are one node from here on, so exact copies are never paired.
-2. Each node is posted under its (coordinate, value) pairs. Two sets that agree in ``matches`` of ``coords`` coordinates
-   share one of any ``coords - matches + 1`` of them: only that prefix is posted, rarest values first, so a value that
-   very many nodes hold is skipped by all that have rarer ones. Values of one node only are not posted.
-3. Inside a posting list, members are first paired with one leader (the most central one), not with each other. Linked
-   members share a component, so only pairs across components remain; those are all tested. No list is cut.
-4. Collisions of a pair are counted on the whole signature, and the sets are fetched only if ``matches`` is reached and
-   the set sizes and a bitmap of each set allow the threshold (two bitmaps differ in no more bits than the sets in
-   members, so no pair is lost by that); pairs that pass are confirmed on the full sets.
-5. Components come from alternating star steps.
-
-A pair at exactly 0.8 is lost with a probability below 4e-5 (16 coordinates, 6 matches); more similar ones less.
+2. Each node is posted under its (coordinate, value) pairs, once with the sets of its own size class and once with the next
+   larger class: classes are as wide as the similarity allows sizes to differ, so a pair of the threshold meets in exactly
+   one of them. Two sets that agree in ``matches`` of ``coords`` coordinates share one of any ``coords - matches + 1`` of
+   them: only that prefix is posted, rarest values first, so a value that very many nodes hold is skipped by all that have
+   rarer ones. Values that no pair of a class shares are not posted.
+3. Inside a posting list, members are first paired with one leader (the most central one), then those outside its component
+   with another, not with each other. Linked members share a component, so only pairs across components remain; those are
+   all tested. No list is cut. Lists are dealt to tasks in parts (``LIST``), so a long one is no single task's.
+4. Collisions of a pair are counted while the lists are joined, on a few bits of each coordinate (equal coordinates have equal
+   bits, so none is lost), then on the whole signature; a bitmap of each set bounds the similarity (two bitmaps differ in
+   no more bits than the sets in members). Pairs that pass are confirmed on the full sets.
+5. Components come from alternating star steps. Steps are written to the shared folder, and deleted once they are used up.
+
+The full sets of all posted nodes are made once, of the texts that a Bloom filter of fixed size lets through. A pair at
+exactly 0.8 is lost with a probability below 4e-5 (16 coordinates, 6 matches); more similar ones less.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import partial
+from functools import cached_property, partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_view, materialize, maybe_broadcast, row_blocks, text_of
+from .common import byte_view, drop_step, materialize, only_rows, row_blocks, text_of
 from .components import connected_components
 from .words import shingle_sets, word_hashes
 
@@ -35,6 +39,8 @@ COORDS, MATCHES = 16, 6
 BITMAP = 2048
 #: Rounds of pairing with leaders before all pairs across components are tested.
 LEADER_ROUNDS = 2
+#: Members of a list that one task joins, on average.
+LIST = 500
 
 
 def _salts(n: int) -> np.ndarray:
@@ -66,7 +72,7 @@ def _sign(batches: Iterator[pa.RecordBatch], shingle: int, coords: int) -> Itera
     salts = _salts(coords)
     tags = np.arange(coords, dtype=np.int64) << 32
     for batch in batches:
-        prints, sizes, signs, maps = [], [], [], []
+        prints, sizes, signs, maps, brief = [], [], [], [], []
         for _, u, off in _sets(batch, shingle):
             n = np.diff(off)
             full = np.flatnonzero(n)
@@ -77,12 +83,14 @@ def _sign(batches: Iterator[pa.RecordBatch], shingle: int, coords: int) -> Itera
             prints += [_fingerprint(u[off[i] : off[i + 1]]) for i in range(len(n))]
             sizes.append(n)
             signs.append(sig | tags)
+            few = 64 // coords
+            brief.append(np.bitwise_or.reduce((sig.view(np.uint64) & np.uint64((1 << few) - 1)) << (np.arange(coords, dtype=np.uint64) * np.uint64(few)), axis=1).view(np.int64))
             maps += [_bitmaps(u, off, c) for c in range(0, len(n), 2000)]
         if not prints:
             continue
         lists = lambda flat, k: pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, k, dtype=np.int32), flat)
-        cols = [batch.column(0), pa.array(prints, pa.binary()), pa.array(np.concatenate(sizes)), lists(np.concatenate(signs).ravel(), coords), lists(np.concatenate(maps), BITMAP // 64)]
-        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "fp", "n_shingles", "sig", "bits"])
+        cols = [batch.column(0), pa.array(prints, pa.binary()), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(brief)), lists(np.concatenate(signs).ravel(), coords), lists(np.concatenate(maps), BITMAP // 64)]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "fp", "n_shingles", "brief", "sig", "bits"])
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -112,84 +120,122 @@ class NearDuplicates:
     """One run over a table; ``result()`` has a row for every input row, ``nodes`` and ``labels`` are its parts."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: tuple[int, int] = (80, 100), coords: int = COORDS, matches: int = MATCHES):
+        if not 0 < matches <= coords <= 64 or not 0 < similarity[0] <= similarity[1]:
+            raise ValueError("matches are 1 to coords, coords up to 64, the similarity above 0 and up to 1")
         self.shingle, (self.up, self.down), self.matches, self.coords = shingle, similarity, matches, coords
         self.docs = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
         kind = self.docs.schema["doc_id"].dataType.simpleString()
-        self.signed = materialize(self.docs.mapInArrow(partial(_sign, shingle=shingle, coords=coords), f"doc_id {kind}, fp binary, n_shingles long, sig array<long>, bits array<long>"), "signed")
-        self.nodes = materialize(self.signed.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bits").alias("bits")), "nodes")
+        self.signed = materialize(self.docs.mapInArrow(partial(_sign, shingle=shingle, coords=coords), f"doc_id {kind}, fp binary, n_shingles long, brief long, sig array<long>, bits array<long>"), "signed")
+        first = [F.first(c).alias(c) for c in ("brief", "sig", "bits")]
+        self.nodes = materialize(self.signed.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").cast("int").alias("n"), *first), "nodes")
         self.labels = self._link()
 
+    @cached_property
+    def repeated(self) -> bool:
+        """Whether an id comes with one set more than once."""
+        return not self.signed.filter("fp is not null").groupBy("doc_id", "fp").count().filter("count > 1").isEmpty()
+
     def _posted(self) -> DataFrame:
-        """(token, fp, central): the prefix of each node's tokens, rarest first, without tokens that only it has.
+        """(token, fp, n, brief, own, held, central): the prefix of each node's tokens of a size class, rarest first.
 
-        ``central`` sums how many nodes hold each of its tokens.
+        ``own``: the class is the node's, not the next larger one. ``held`` counts the token's nodes, ``central`` sums that.
         """
-        every = self.nodes.select("fp", "n", F.explode("sig").alias("token"))
-        held = every.groupBy("token").agg(F.count("*").alias("held")).filter("held > 1")
-        ranked = every.join(held, "token").groupBy("fp", "n").agg(F.sum("held").alias("central"), F.array_sort(F.collect_list(F.struct("held", "token"))).alias("t"))
-        # the node's other tokens are its own, come first and fill a part of the prefix
+        # a little wider than the similarity asks for, so that no rounding parts a pair by two classes
+        wide = max(self.down / self.up, 1 + 1e-9) * (1 + 1e-9)
+        of = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(wide))).cast("long")
+        every = self.nodes.select("fp", "n", "brief", "sig", F.explode(F.array(F.struct(of.alias("size"), F.lit(True).alias("own")), F.struct((of + 1).alias("size"), F.lit(False).alias("own")))).alias("c"))
+        every = every.select("fp", "n", "brief", "c.own", F.explode("sig").alias("value"), "c.size").withColumn("token", F.xxhash64("value", "size")).drop("value", "size")
+        # pairs of the smaller class meet there
+        held = every.groupBy("token").agg(F.count("*").alias("held"), F.max("own").alias("some")).filter("held > 1 AND some").select("token", "held")
+        ranked = every.join(held, "token").groupBy("fp", "n", "brief", "own").agg(F.sum("held").alias("central"), F.array_sort(F.collect_list(F.struct("held", "token"))).alias("t"))
+        # the node's other tokens make no pairs, come first and fill a part of the prefix
         taken = F.expr(f"slice(t, 1, greatest(0, size(t) - {self.matches - 1}))")
-        return materialize(ranked.select("fp", "n", "central", F.explode(taken).alias("t")).select("t.token", "fp", "n", "central"), "posted")
-
-    def _verified(self, near: DataFrame) -> DataFrame | None:
-        """Those of the near pairs (a, b) that reach the threshold on their full sets. None if there are no pairs."""
-        near = materialize(near, "near")
-        if near.isEmpty():
-            return None
-        need = materialize(near.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(self.nodes.select("fp", "rep"), "fp"), "need")
-        texts = self.docs.join(maybe_broadcast(need, need.count()), self.docs["doc_id"].eqNullSafe(need["rep"])).select("text", "fp")
-        sets = materialize(texts.mapInArrow(partial(_set_rows, shingle=self.shingle), "fp binary, members binary").dropDuplicates(["fp"]), "sets")
-        whole = lambda s: sets.select(F.col("fp").alias(s), F.col("members").alias(f"set_{s}"))
-        ready = near.join(whole("a"), "a").join(whole("b"), "b").select("a", "b", "set_a", "set_b")
-        return ready.mapInArrow(partial(_confirm, up=self.up, down=self.down), "a binary, b binary")
+        return materialize(ranked.select("fp", "n", "brief", "own", "central", F.explode(taken).alias("t")).select("t.token", "fp", "n", "brief", "own", "t.held", "central"), "posted")
+
+    def _sets(self, need: DataFrame) -> DataFrame:
+        """(fp, members): the full sets of the nodes (fp, rep), in one pass over the texts."""
+        texts = only_rows(self.docs, "doc_id", need, "rep")
+        texts = texts.join(need, texts["doc_id"].eqNullSafe(need["rep"])).select("text", "fp")
+        sets = texts.mapInArrow(partial(_set_rows, shingle=self.shingle), "fp binary, members binary")
+        return materialize(sets.dropDuplicates(["fp"]) if self.repeated else sets, "sets")
 
     def _link(self) -> DataFrame:
-        posted = self._posted()
-        labels, links = None, None
+        posted, labels = self._posted(), None
+        sets: list[DataFrame] = []
         for step in range(LEADER_ROUNDS + 1):
-            now = posted.withColumn("label", F.col("fp")) if labels is None else posted.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-            if labels is not None:  # lists that lie within one component need nothing more
-                open_ = now.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token")
-                now = materialize(now.join(open_, "token"), "open")
-                if now.isEmpty():
-                    break
-            near = self._with_leaders(now, step) if step < LEADER_ROUNDS else self._across(now)
-            found = self._verified(near)
-            if found is None and labels is not None:
-                continue
-            if found is None:
-                found = near.limit(0)
-            links = materialize(found if links is None else links.union(found), "links")
-            labels = materialize(connected_components(links), "labels")
+            now = posted.withColumn("label", F.col("fp"))
+            if labels is not None:
+                now = posted.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+            pairs = materialize(self._with_leaders(now, step) if step < LEADER_ROUNDS else self._across(now), "pairs")
+            found = self._confirmed(pairs, sets)
+            if labels is None or not found.isEmpty():
+                before, labels = labels, connected_components(found if labels is None else found.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+                drop_step(before)
+            drop_step(found)
+        for used in (posted, *sets):
+            drop_step(used)
         return labels
 
+    def _leaders(self, now: DataFrame) -> DataFrame:
+        """(token, lead, lead_label, lead_n, lead_brief, salt): each open list's most central own member, for each part of the list.
+
+        A list is open if its members are of several components.
+        """
+        best = F.max(F.when(F.col("own"), F.struct("central", "fp", "label", "n", "brief")))
+        lead = now.groupBy("token").agg(best.alias("l"), F.max("held").alias("held"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi AND l IS NOT NULL")
+        return self._by_part(lead)
+
+    @staticmethod
+    def _by_part(lead: DataFrame) -> DataFrame:
+        parts = F.ceil(F.col("held") / LIST).cast("int")
+        return lead.select("token", F.col("l.fp").alias("lead"), F.col("l.label").alias("lead_label"), F.col("l.n").alias("lead_n"), F.col("l.brief").alias("lead_brief"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
+
+    @staticmethod
+    def _salted(now: DataFrame) -> DataFrame:
+        return now.withColumn("salt", F.pmod(F.xxhash64("fp"), F.ceil(F.col("held") / LIST)).cast("int"))
+
     def _with_leaders(self, now: DataFrame, step: int) -> DataFrame:
-        """Near pairs of each list's members with two leaders: its most central member's component sends that member, in
-        later rounds another one by hash; from the second round on, so do the other components, as one."""
-        best = F.max(F.struct("central", "fp", "label", "n"))
-        of = lambda df: df.select("token", F.col("l.fp").alias("lead"), F.col("l.label").alias("lead_label"), F.col("l.n").alias("lead_n"))
-        lead = of(now.groupBy("token").agg(best.alias("l")))
+        """(a, b): members of each open list and its leader; in later steps, the leader is one by hash of those outside the
+        component of the most central one."""
+        now = self._salted(now)
+        lead = self._leaders(now)
         if step:
-            turn = F.max(F.struct(F.xxhash64("fp", F.lit(step)), "fp", "label", "n"))
-            both = now.join(lead.select("token", F.col("lead_label").alias("first")), "token").withColumn("other", F.col("label") != F.col("first"))
-            lead = of(both.groupBy("token", "other").agg(turn.alias("l")))
-        sizes = F.least("n", "lead_n") * self.down >= F.greatest("n", "lead_n") * self.up
-        pairs = now.join(lead, "token").filter(sizes & (F.col("fp") != F.col("lead")) & (F.lit(step == 0) | (F.col("label") != F.col("lead_label"))))
-        pairs = pairs.select(F.least("fp", "lead").alias("a"), F.greatest("fp", "lead").alias("b")).distinct()
-        own = lambda s: self.nodes.select(F.col("fp").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "sig", "bits")])
-        return pairs.join(own("a"), "a").join(own("b"), "b").filter(self._near()).select("a", "b")
+            apart = now.join(lead, ["token", "salt"]).filter(F.col("own") & (F.col("label") != F.col("lead_label")))
+            turn = F.max(F.struct(F.xxhash64("fp", F.lit(step)), "fp", "label", "n", "brief"))
+            lead = self._by_part(apart.groupBy("token").agg(turn.alias("l"), F.max("held").alias("held")))
+        pairs = now.join(lead, ["token", "salt"]).filter((F.col("label") != F.col("lead_label")) & self._may("n", "brief", "lead_n", "lead_brief"))
+        return pairs.select(F.least("fp", "lead").alias("a"), F.greatest("fp", "lead").alias("b")).distinct()
 
     def _across(self, now: DataFrame) -> DataFrame:
-        """Near pairs of different components in a list, each in the list of the least token that both are posted under.
-
-        The join itself counts, so only near pairs come out of it, once each.
-        """
-        held = now.groupBy("fp").agg(F.collect_list("token").alias("tokens"))
-        full = now.select("token", "fp", "label").join(held, "fp").join(self.nodes.select("fp", "n", "sig", "bits"), "fp")
-        side = lambda s: full.select(*[F.col(c).alias(f"{c}_{s}") for c in ("token", "tokens", "fp", "label", "n", "sig", "bits")])
-        on = (F.col("token_a") == F.col("token_b")) & (F.col("fp_a") < F.col("fp_b")) & (F.col("label_a") != F.col("label_b"))
-        once = F.array_min(F.array_intersect("tokens_a", "tokens_b")) == F.col("token_a")
-        return side("a").join(side("b"), on & self._near() & once).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
+        """(a, b): all pairs of an open list that lie in different components, except that none of its leader's component is
+        paired with another of that."""
+        now = self._salted(now)
+        lead = self._leaders(now).select("token", "salt", "lead_label")
+        open_ = now.join(lead, ["token", "salt"])
+        one = open_.filter(F.col("label") != F.col("lead_label")).select("token", "salt", *[F.col(c).alias(f"{c}_a") for c in ("fp", "n", "brief", "own", "label")], "lead_label")
+        # the other side goes to all parts of the list
+        parts = F.ceil(F.col("held") / LIST).cast("int")
+        two = open_.select("token", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), *[F.col(c).alias(f"{c}_b") for c in ("fp", "n", "brief", "own", "label")])
+        pairs = one.join(two, ["token", "salt"]).filter(
+            (F.col("label_a") != F.col("label_b"))
+            & (F.col("own_a") | F.col("own_b"))
+            & ((F.col("label_b") == F.col("lead_label")) | (F.col("fp_a") < F.col("fp_b")))
+            & self._may("n_a", "brief_a", "n_b", "brief_b")
+        )
+        return pairs.select(F.least("fp_a", "fp_b").alias("a"), F.greatest("fp_a", "fp_b").alias("b")).distinct()
+
+    def _may(self, n_a: str, brief_a: str, n_b: str, brief_b: str) -> Column:
+        """Whether sizes and the coordinates' last bits allow the threshold and the collisions."""
+        few = 64 // self.coords
+        differ = apart = F.col(brief_a).bitwiseXOR(F.col(brief_b))
+        for k in range(1, few):
+            differ = differ.bitwiseOR(F.shiftrightunsigned(apart, k))
+        mask = sum(1 << (few * k) for k in range(self.coords))
+        same = F.lit(self.coords) - F.bit_count(differ.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")))
+        return self._sizes(n_a, n_b) & (same >= self.matches)
+
+    def _sizes(self, a: str, b: str) -> Column:
+        return F.least(a, b).cast("long") * self.down >= F.greatest(a, b).cast("long") * self.up
 
     def _near(self) -> Column:
         """Whether sizes, bitmaps and collisions of two nodes allow the threshold.
@@ -198,9 +244,33 @@ class NearDuplicates:
         bitmaps in no more bits than that.
         """
         apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-        same = F.size(F.array_intersect("sig_a", "sig_b"))  # tokens carry their coordinate, so common ones are collisions
-        sizes = F.least("n_a", "n_b") * self.down >= F.greatest("n_a", "n_b") * self.up
-        return sizes & (apart * (self.down + self.up) <= (F.col("n_a") + F.col("n_b")) * (self.down - self.up)) & (same >= self.matches)
+        same = F.size(F.array_intersect("sig_a", "sig_b"))  # values carry their coordinate, so common ones are collisions
+        both = F.col("n_a").cast("long") + F.col("n_b")
+        return self._sizes("n_a", "n_b") & (apart.cast("long") * (self.down + self.up) <= both * (self.down - self.up)) & (same >= self.matches)
+
+    def _confirmed(self, pairs: DataFrame, sets: list[DataFrame]) -> DataFrame:
+        """Those of the pairs (a, b) that reach the threshold on their full sets; sets not made yet are added to ``sets``."""
+        ends = lambda of: of.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+        about = only_rows(self.nodes, "fp", ends(pairs), "fp")
+        own = lambda s: about.select(F.col("fp").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "sig", "bits")])
+        near = materialize(pairs.join(own("a"), "a").join(own("b"), "b").filter(self._near()).select("a", "b"), "near")
+        drop_step(pairs)
+        need = ends(near)
+        for made in sets:
+            need = need.join(made.select("fp"), "fp", "left_anti")
+        need = materialize(need.join(only_rows(self.nodes.select("fp", "rep"), "fp", need, "fp"), "fp"), "need")
+        sets.append(self._sets(need))
+        drop_step(need)
+        whole = sets[0]
+        for made in sets[1:]:
+            whole = whole.union(made)
+        whole = only_rows(whole, "fp", ends(near), "fp")
+        side = lambda s: whole.select(F.col("fp").alias(s), F.col("members").alias(f"set_{s}"))
+        ready = near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
+        found = materialize(ready.mapInArrow(partial(_confirm, up=self.up, down=self.down), "a binary, b binary"), "links")
+        drop_step(near)
+        return found
+
     def classes(self) -> DataFrame:
         """(fp, label, component_id, rep): each node's component, the least document id in it, and in the node itself."""
         own = self.nodes.select("fp", "rep").join(self.labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
@@ -237,7 +307,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     run = NearDuplicates(docs, id_col, text_col, **options)
     stay = run.classes().filter(F.col("rep").eqNullSafe(F.col("component_id"))).groupBy("label").agg(F.min_by(F.struct("fp", "rep"), "fp").alias("s")).select(F.col("s.fp").alias("_fp"), F.col("s.rep").alias("_id"))
-    many = run.signed.filter("fp is not null").groupBy("doc_id", "fp").count().filter("count > 1").limit(1).count() > 0
+    many = run.repeated
     own = docs.select(docs[id_col].alias("_key"), docs[text_col].cast("string").alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
     kind = own.schema["_key"].dataType.simpleString()
     row = own.schema["_row"].dataType.simpleString()
