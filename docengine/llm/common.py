@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import uuid
@@ -45,9 +46,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_step(df: DataFrame | None) -> None:
-    """Delete what ``materialize`` wrote for ``df``, once nothing reads it any more."""
+    """Delete what ``materialize`` wrote for ``df``, once nothing reads it any more.
+
+    The driver's collector is asked too: Spark removes the shuffle files of finished jobs when their plans are collected.
+    """
     if df is not None and getattr(df, "written", None):
         spark = df.sparkSession
+        gc.collect()
+        spark._jvm.System.gc()
         path = spark._jvm.org.apache.hadoop.fs.Path(df.written)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
         df.written = None

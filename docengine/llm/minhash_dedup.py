@@ -2,27 +2,25 @@
 
 1. Each text becomes a set of distinct k-word shingles (64-bit hashes), a 128-bit fingerprint of that set, and a signature
    of ``coords`` least hashes. Equal sets are one node from here on, so exact copies are never paired.
-2. Each node is posted under its (coordinate, value) pairs, once with the sets of its own size class and once with the next
-   larger class: classes are as wide as the similarity allows sizes to differ, so a pair of the threshold meets in exactly
-   one of them. Two sets that agree in ``matches`` of ``coords`` coordinates share one of any ``coords - matches + 1`` of
-   them: only that prefix is posted, rarest values first, so a value that very many nodes hold is skipped by all that have
-   rarer ones. Values that no pair of a class shares are not posted.
-3. Inside a posting list, members are first paired with one leader (the most central one), then those outside its component
+2. Each node is posted under its (coordinate, value) pairs. Two sets that agree in ``matches`` of ``coords`` coordinates
+   share one of any ``coords - matches + 1`` of them: only that prefix is posted, rarest values first, so a value that
+   very many nodes hold is skipped by all that have rarer ones. Values of one node only are not posted.
+3. All pairs of a short list (``SHORT``) are tested at once. Inside a longer one, members are first paired with one leader (the most central one), then those outside its component
    with another, not with each other. Linked members share a component, so only pairs across components remain; those are
    all tested. No list is cut. Lists are dealt to tasks in parts (``LIST``), so a long one is no single task's.
 4. Collisions of a pair are counted while the lists are joined, on a few bits of each coordinate (equal coordinates have equal
-   bits, so none is lost), then on the whole signature; a bitmap of each set bounds the similarity (two bitmaps differ in
-   no more bits than the sets in members). Pairs that pass are confirmed on the full sets.
+   bits, so none is lost); a bitmap of each set bounds the similarity (two bitmaps differ in no more bits than the sets in
+   members). Pairs that pass are confirmed on the full sets.
 5. Components come from alternating star steps. Steps are written to the shared folder, and deleted once they are used up.
 
-The full sets of all posted nodes are made once, of the texts that a Bloom filter of fixed size lets through. A pair at
-exactly 0.8 is lost with a probability below 4e-5 (16 coordinates, 6 matches); more similar ones less.
+A node's full set is made once, in the first round that needs it, of the texts that a Bloom filter of fixed size lets through;
+the join is the same at every size. exactly 0.8 is lost with a probability below 5e-5 (24 coordinates, 11 matches); more similar ones less.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property, partial
 
 import numpy as np
@@ -34,13 +32,17 @@ from .common import byte_view, drop_step, materialize, only_rows, row_blocks, te
 from .components import connected_components
 from .words import shingle_sets, word_hashes
 
-COORDS, MATCHES = 16, 6
+COORDS, MATCHES = 24, 11
 #: Bins of a set's bitmap.
 BITMAP = 2048
+#: What pairs are tested by while lists are joined.
+BRIEF = ("n", "q0", "q1")
 #: Rounds of pairing with leaders before all pairs across components are tested.
 LEADER_ROUNDS = 2
 #: Members of a list that one task joins, on average.
 LIST = 500
+#: Nodes of a value up to which all pairs of its list are made at once.
+SHORT = 16
 
 
 def _salts(n: int) -> np.ndarray:
@@ -68,6 +70,16 @@ def _bitmaps(u: np.ndarray, off: np.ndarray, first: int, rows: int = 2000) -> np
     return np.packbits(seen).view(np.int64)
 
 
+def _brief(sig: np.ndarray) -> np.ndarray:
+    """The last bits of each coordinate, side by side in two longs a row."""
+    out = np.zeros((len(sig), 2), np.uint64)
+    half = -(-sig.shape[1] // 2)
+    few = 64 // half
+    for k in range(sig.shape[1]):
+        out[:, k // half] |= (sig[:, k].view(np.uint64) & np.uint64((1 << few) - 1)) << np.uint64(few * (k % half))
+    return out.view(np.int64)
+
+
 def _sign(batches: Iterator[pa.RecordBatch], shingle: int, coords: int) -> Iterator[pa.RecordBatch]:
     salts = _salts(coords)
     tags = np.arange(coords, dtype=np.int64) << 32
@@ -83,14 +95,13 @@ def _sign(batches: Iterator[pa.RecordBatch], shingle: int, coords: int) -> Itera
             prints += [_fingerprint(u[off[i] : off[i + 1]]) for i in range(len(n))]
             sizes.append(n)
             signs.append(sig | tags)
-            few = 64 // coords
-            brief.append(np.bitwise_or.reduce((sig.view(np.uint64) & np.uint64((1 << few) - 1)) << (np.arange(coords, dtype=np.uint64) * np.uint64(few)), axis=1).view(np.int64))
+            brief.append(_brief(sig))
             maps += [_bitmaps(u, off, c) for c in range(0, len(n), 2000)]
         if not prints:
             continue
         lists = lambda flat, k: pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, k, dtype=np.int32), flat)
-        cols = [batch.column(0), pa.array(prints, pa.binary()), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(brief)), lists(np.concatenate(signs).ravel(), coords), lists(np.concatenate(maps), BITMAP // 64)]
-        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "fp", "n_shingles", "brief", "sig", "bits"])
+        cols = [batch.column(0), pa.array(prints, pa.binary()), pa.array(np.concatenate(sizes)), *(pa.array(x) for x in np.ascontiguousarray(np.concatenate(brief).T)), lists(np.concatenate(signs).ravel(), coords), lists(np.concatenate(maps), BITMAP // 64)]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "fp", "n_shingles", *BRIEF[1:], "sig", "bits"])
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -125,8 +136,8 @@ class NearDuplicates:
         self.shingle, (self.up, self.down), self.matches, self.coords = shingle, similarity, matches, coords
         self.docs = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
         kind = self.docs.schema["doc_id"].dataType.simpleString()
-        self.signed = materialize(self.docs.mapInArrow(partial(_sign, shingle=shingle, coords=coords), f"doc_id {kind}, fp binary, n_shingles long, brief long, sig array<long>, bits array<long>"), "signed")
-        first = [F.first(c).alias(c) for c in ("brief", "sig", "bits")]
+        self.signed = materialize(self.docs.mapInArrow(partial(_sign, shingle=shingle, coords=coords), f"doc_id {kind}, fp binary, n_shingles long, {', '.join(f'{c} long' for c in BRIEF[1:])}, sig array<long>, bits array<long>"), "signed")
+        first = [F.first(c).alias(c) for c in (*BRIEF[1:], "sig", "bits")]
         self.nodes = materialize(self.signed.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").cast("int").alias("n"), *first), "nodes")
         self.labels = self._link()
 
@@ -136,21 +147,17 @@ class NearDuplicates:
         return not self.signed.filter("fp is not null").groupBy("doc_id", "fp").count().filter("count > 1").isEmpty()
 
     def _posted(self) -> DataFrame:
-        """(token, fp, n, brief, own, held, central): the prefix of each node's tokens of a size class, rarest first.
+        """(token, fp, held, central, *BRIEF): the prefix of each node's tokens, rarest first, without tokens that only it has.
 
-        ``own``: the class is the node's, not the next larger one. ``held`` counts the token's nodes, ``central`` sums that.
+        ``held`` counts the nodes of a token, ``central`` sums that over the node's tokens.
         """
-        # a little wider than the similarity asks for, so that no rounding parts a pair by two classes
-        wide = max(self.down / self.up, 1 + 1e-9) * (1 + 1e-9)
-        of = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(wide))).cast("long")
-        every = self.nodes.select("fp", "n", "brief", "sig", F.explode(F.array(F.struct(of.alias("size"), F.lit(True).alias("own")), F.struct((of + 1).alias("size"), F.lit(False).alias("own")))).alias("c"))
-        every = every.select("fp", "n", "brief", "c.own", F.explode("sig").alias("value"), "c.size").withColumn("token", F.xxhash64("value", "size")).drop("value", "size")
-        # pairs of the smaller class meet there
-        held = every.groupBy("token").agg(F.count("*").alias("held"), F.max("own").alias("some")).filter("held > 1 AND some").select("token", "held")
-        ranked = every.join(held, "token").groupBy("fp", "n", "brief", "own").agg(F.sum("held").alias("central"), F.array_sort(F.collect_list(F.struct("held", "token"))).alias("t"))
-        # the node's other tokens make no pairs, come first and fill a part of the prefix
+        every = self.nodes.select("fp", F.explode("sig").alias("token"))
+        held = every.groupBy("token").agg(F.count("*").alias("held")).filter("held > 1")
+        ranked = every.join(held.hint("merge"), "token").groupBy("fp").agg(F.sum("held").alias("central"), F.array_sort(F.collect_list(F.struct("held", "token"))).alias("t"))
+        # the node's other tokens are its own, come first and fill a part of the prefix
         taken = F.expr(f"slice(t, 1, greatest(0, size(t) - {self.matches - 1}))")
-        return materialize(ranked.select("fp", "n", "brief", "own", "central", F.explode(taken).alias("t")).select("t.token", "fp", "n", "brief", "own", "t.held", "central"), "posted")
+        about = ranked.join(self.nodes.select("fp", *BRIEF).hint("merge"), "fp")
+        return materialize(about.select("fp", *BRIEF, "central", F.explode(taken).alias("t")).select("t.token", "fp", "t.held", "central", *BRIEF), "posted")
 
     def _sets(self, need: DataFrame) -> DataFrame:
         """(fp, members): the full sets of the nodes (fp, rep), in one pass over the texts."""
@@ -161,13 +168,18 @@ class NearDuplicates:
 
     def _link(self) -> DataFrame:
         posted, labels = self._posted(), None
+        lists = posted.filter(F.col("held") > SHORT)
         sets: list[DataFrame] = []
         for step in range(LEADER_ROUNDS + 1):
-            now = posted.withColumn("label", F.col("fp"))
+            now = lists.withColumn("label", F.col("fp"))
             if labels is not None:
-                now = posted.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-            pairs = materialize(self._with_leaders(now, step) if step < LEADER_ROUNDS else self._across(now), "pairs")
-            found = self._confirmed(pairs, sets)
+                now = lists.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+            if step < LEADER_ROUNDS:
+                pairs = self._with_leaders(now, step)
+                near = self._near(pairs if step else pairs.union(self._short(posted)))
+            else:
+                near = self._across(now)
+            found = self._confirmed(near, sets)
             if labels is None or not found.isEmpty():
                 before, labels = labels, connected_components(found if labels is None else found.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
                 drop_step(before)
@@ -176,86 +188,92 @@ class NearDuplicates:
             drop_step(used)
         return labels
 
-    def _leaders(self, now: DataFrame) -> DataFrame:
-        """(token, lead, lead_label, lead_n, lead_brief, salt): each open list's most central own member, for each part of the list.
-
-        A list is open if its members are of several components.
-        """
-        best = F.max(F.when(F.col("own"), F.struct("central", "fp", "label", "n", "brief")))
-        lead = now.groupBy("token").agg(best.alias("l"), F.max("held").alias("held"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi AND l IS NOT NULL")
-        return self._by_part(lead)
+    @staticmethod
+    def _salted(now: DataFrame) -> DataFrame:
+        """A list's members dealt to parts by a hash."""
+        return now.withColumn("salt", F.pmod(F.xxhash64("fp"), F.ceil(F.col("held") / LIST)).cast("int"))
 
     @staticmethod
     def _by_part(lead: DataFrame) -> DataFrame:
-        parts = F.ceil(F.col("held") / LIST).cast("int")
-        return lead.select("token", F.col("l.fp").alias("lead"), F.col("l.label").alias("lead_label"), F.col("l.n").alias("lead_n"), F.col("l.brief").alias("lead_brief"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
+        """One row for each part of a list, whose leader is the struct ``l``."""
+        parts = F.explode(F.sequence(F.lit(0), F.ceil(F.col("held") / LIST).cast("int") - 1)).alias("salt")
+        return lead.select("token", parts, F.col("l.fp").alias("lead"), *[F.col(f"l.{c}").alias(f"lead_{c}") for c in ("label", *BRIEF)])
 
-    @staticmethod
-    def _salted(now: DataFrame) -> DataFrame:
-        return now.withColumn("salt", F.pmod(F.xxhash64("fp"), F.ceil(F.col("held") / LIST)).cast("int"))
+    def _leaders(self, now: DataFrame) -> DataFrame:
+        """The most central member of each open list; a list is open if its members are of several components."""
+        best = F.max(F.struct("central", "fp", "label", *BRIEF))
+        lead = now.groupBy("token").agg(best.alias("l"), F.max("held").alias("held"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+        return self._by_part(lead.filter("lo < hi"))
+
+    def _short(self, posted: DataFrame) -> DataFrame:
+        """(a, b): all pairs of the lists of up to ``SHORT`` nodes that may be near."""
+        members = posted.filter(F.col("held") <= SHORT).groupBy("token").agg(F.collect_list(F.struct("fp", *BRIEF)).alias("m")).filter(F.size("m") > 1)
+        later = lambda x: F.filter("m", lambda y: (x["fp"] < y["fp"]) & self._may(lambda c: x[c], lambda c: y[c]))
+        pairs = F.flatten(F.transform("m", lambda x: F.transform(later(x), lambda y: F.struct(x["fp"].alias("a"), y["fp"].alias("b")))))
+        return members.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
 
     def _with_leaders(self, now: DataFrame, step: int) -> DataFrame:
-        """(a, b): members of each open list and its leader; in later steps, the leader is one by hash of those outside the
-        component of the most central one."""
+        """(a, b): the members of each open list and its leader, if they may be near; in later steps, the leader is one by hash of
+        those outside the component of the most central one."""
         now = self._salted(now)
         lead = self._leaders(now)
         if step:
-            apart = now.join(lead, ["token", "salt"]).filter(F.col("own") & (F.col("label") != F.col("lead_label")))
-            turn = F.max(F.struct(F.xxhash64("fp", F.lit(step)), "fp", "label", "n", "brief"))
+            apart = now.join(lead, ["token", "salt"]).filter(F.col("label") != F.col("lead_label"))
+            turn = F.max(F.struct(F.xxhash64("fp", F.lit(step)), "fp", "label", *BRIEF))
             lead = self._by_part(apart.groupBy("token").agg(turn.alias("l"), F.max("held").alias("held")))
-        pairs = now.join(lead, ["token", "salt"]).filter((F.col("label") != F.col("lead_label")) & self._may("n", "brief", "lead_n", "lead_brief"))
-        return pairs.select(F.least("fp", "lead").alias("a"), F.greatest("fp", "lead").alias("b")).distinct()
+        pairs = now.join(lead, ["token", "salt"]).filter((F.col("label") != F.col("lead_label")) & self._may(F.col, lambda c: F.col(f"lead_{c}")))
+        return pairs.select(F.least("fp", "lead").alias("a"), F.greatest("fp", "lead").alias("b"))
+
+    def _near(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs whose bitmaps allow the threshold, once each."""
+        pairs = materialize(pairs.distinct(), "pairs")
+        about = only_rows(self.nodes.select("fp", "n", "bits"), "fp", self._ends(pairs), "fp")
+        own = lambda s: about.select(F.col("fp").alias(s), F.col("n").alias(f"{s}_n"), F.col("bits").alias(f"{s}_bits")).hint("merge")
+        near = materialize(pairs.join(own("a"), "a").join(own("b"), "b").filter(self._bound("a_", "b_")).select("a", "b"), "near")
+        drop_step(pairs)
+        return near
 
     def _across(self, now: DataFrame) -> DataFrame:
-        """(a, b): all pairs of an open list that lie in different components, except that none of its leader's component is
-        paired with another of that."""
+        """Near pairs (a, b) of an open list that lie in different components, except that members of its leader's component
+        are not paired with each other. The join itself tests them, so that only near pairs come out of it."""
         now = self._salted(now)
         lead = self._leaders(now).select("token", "salt", "lead_label")
-        open_ = now.join(lead, ["token", "salt"])
-        one = open_.filter(F.col("label") != F.col("lead_label")).select("token", "salt", *[F.col(c).alias(f"{c}_a") for c in ("fp", "n", "brief", "own", "label")], "lead_label")
+        open_ = now.join(lead, ["token", "salt"]).join(self.nodes.select("fp", "bits").hint("merge"), "fp")
+        wide = ("fp", "label", *BRIEF, "bits")
+        one = open_.filter(F.col("label") != F.col("lead_label")).select("token", "salt", "lead_label", *[F.col(c).alias(f"a_{c}") for c in wide])
         # the other side goes to all parts of the list
-        parts = F.ceil(F.col("held") / LIST).cast("int")
-        two = open_.select("token", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), *[F.col(c).alias(f"{c}_b") for c in ("fp", "n", "brief", "own", "label")])
-        pairs = one.join(two, ["token", "salt"]).filter(
-            (F.col("label_a") != F.col("label_b"))
-            & (F.col("own_a") | F.col("own_b"))
-            & ((F.col("label_b") == F.col("lead_label")) | (F.col("fp_a") < F.col("fp_b")))
-            & self._may("n_a", "brief_a", "n_b", "brief_b")
-        )
-        return pairs.select(F.least("fp_a", "fp_b").alias("a"), F.greatest("fp_a", "fp_b").alias("b")).distinct()
-
-    def _may(self, n_a: str, brief_a: str, n_b: str, brief_b: str) -> Column:
-        """Whether sizes and the coordinates' last bits allow the threshold and the collisions."""
-        few = 64 // self.coords
-        differ = apart = F.col(brief_a).bitwiseXOR(F.col(brief_b))
-        for k in range(1, few):
-            differ = differ.bitwiseOR(F.shiftrightunsigned(apart, k))
-        mask = sum(1 << (few * k) for k in range(self.coords))
-        same = F.lit(self.coords) - F.bit_count(differ.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")))
-        return self._sizes(n_a, n_b) & (same >= self.matches)
-
-    def _sizes(self, a: str, b: str) -> Column:
-        return F.least(a, b).cast("long") * self.down >= F.greatest(a, b).cast("long") * self.up
-
-    def _near(self) -> Column:
-        """Whether sizes, bitmaps and collisions of two nodes allow the threshold.
-
-        Two sets of a similarity of up / down differ in at most (n_a + n_b) * (down - up) / (down + up) members, and their
-        bitmaps in no more bits than that.
-        """
-        apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-        same = F.size(F.array_intersect("sig_a", "sig_b"))  # values carry their coordinate, so common ones are collisions
-        both = F.col("n_a").cast("long") + F.col("n_b")
-        return self._sizes("n_a", "n_b") & (apart.cast("long") * (self.down + self.up) <= both * (self.down - self.up)) & (same >= self.matches)
+        two = open_.select("token", F.explode(F.sequence(F.lit(0), F.ceil(F.col("held") / LIST).cast("int") - 1)).alias("part"), F.col("token").alias("other"), *[F.col(c).alias(f"b_{c}") for c in wide]).drop("token")
+        once = (F.col("b_label") == F.col("lead_label")) | (F.col("a_fp") < F.col("b_fp"))
+        on = (F.col("token") == F.col("other")) & (F.col("salt") == F.col("part")) & (F.col("a_label") != F.col("b_label")) & once & self._may(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}")) & self._bound("a_", "b_")
+        pairs = one.join(two.hint("merge"), on)
+        return materialize(pairs.select(F.least("a_fp", "b_fp").alias("a"), F.greatest("a_fp", "b_fp").alias("b")).distinct(), "near")
+
+    def _may(self, a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+        """Whether the sizes of two nodes allow the threshold, and the last bits of their coordinates enough collisions."""
+        half = -(-self.coords // 2)
+        few, same = 64 // half, F.lit(0)
+        for q, coords in (("q0", half), ("q1", self.coords - half)):
+            differ = apart = a(q).bitwiseXOR(b(q))
+            for k in range(1, few):
+                differ = differ.bitwiseOR(F.shiftrightunsigned(apart, k))
+            mask = sum(1 << (few * k) for k in range(coords))
+            same = same + F.lit(coords) - F.bit_count(differ.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")))
+        least, most = F.least(a("n"), b("n")).cast("long"), F.greatest(a("n"), b("n")).cast("long")
+        return (least * self.down >= most * self.up) & (same >= self.matches)
+
+    def _bound(self, a: str, b: str) -> Column:
+        """Whether the bitmaps of two nodes allow the threshold: sets of a similarity of up / down differ in at most
+        (n_a + n_b) * (down - up) / (down + up) members, and their bitmaps in no more bits than that."""
+        apart = F.aggregate(F.zip_with(a + "bits", b + "bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+        return apart.cast("long") * (self.down + self.up) <= (F.col(a + "n").cast("long") + F.col(b + "n")) * (self.down - self.up)
+
+    @staticmethod
+    def _ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
 
-    def _confirmed(self, pairs: DataFrame, sets: list[DataFrame]) -> DataFrame:
+    def _confirmed(self, near: DataFrame, sets: list[DataFrame]) -> DataFrame:
         """Those of the pairs (a, b) that reach the threshold on their full sets; sets not made yet are added to ``sets``."""
-        ends = lambda of: of.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-        about = only_rows(self.nodes, "fp", ends(pairs), "fp")
-        own = lambda s: about.select(F.col("fp").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "sig", "bits")])
-        near = materialize(pairs.join(own("a"), "a").join(own("b"), "b").filter(self._near()).select("a", "b"), "near")
-        drop_step(pairs)
-        need = ends(near)
+        need = self._ends(near)
         for made in sets:
             need = need.join(made.select("fp"), "fp", "left_anti")
         need = materialize(need.join(only_rows(self.nodes.select("fp", "rep"), "fp", need, "fp"), "fp"), "need")
@@ -264,8 +282,8 @@ class NearDuplicates:
         whole = sets[0]
         for made in sets[1:]:
             whole = whole.union(made)
-        whole = only_rows(whole, "fp", ends(near), "fp")
-        side = lambda s: whole.select(F.col("fp").alias(s), F.col("members").alias(f"set_{s}"))
+        whole = only_rows(whole, "fp", self._ends(near), "fp")
+        side = lambda s: whole.select(F.col("fp").alias(s), F.col("members").alias(f"set_{s}")).hint("merge")
         ready = near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
         found = materialize(ready.mapInArrow(partial(_confirm, up=self.up, down=self.down), "a binary, b binary"), "links")
         drop_step(near)
