@@ -64,16 +64,25 @@ def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> Da
     return F.broadcast(df) if rows <= limit else df
 
 
-def only_rows(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
-    """The rows of ``df`` whose key may be among the wanted ones: a Bloom filter of ``BLOOM_BITS`` bits, whose size does not
-    depend on the data, is broadcast. Keeps all that are wanted, and others by chance."""
+def maybe_wanted(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str, name: str) -> DataFrame:
+    """``df`` with a column ``name``: whether the row's key may be among the wanted ones (always if it is, else by chance).
+
+    A Bloom filter of ``BLOOM_BITS`` bits is broadcast, whose size does not depend on the data.
+    """
     place = lambda c: F.xxhash64(c).bitwiseAND(F.lit(BLOOM_BITS - 1))
     word, bit = free_name(df, "_word"), free_name(df, "_bit")
     bits = wanted.select(place(wanted[wanted_key]).alias("at")).selectExpr(f"at >> 6 AS {word}", f"shiftleft(1L, cast(at & 63 AS int)) AS {bit}")
     bits = bits.groupBy(word).agg(F.bit_or(bit).alias(bit))  # at most BLOOM_BITS / 64 rows
     own = place(df[key])
-    hit = df.join(F.broadcast(bits), F.shiftright(own, 6) == bits[word])
-    return hit.filter(hit[bit].bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), own.bitwiseAND(F.lit(63)).cast("int"))) != 0).select(*[df[c] for c in df.columns])
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), own.bitwiseAND(F.lit(63)).cast("int"))
+    seen = df.join(F.broadcast(bits), F.shiftright(own, 6) == bits[word], "left")
+    return seen.select(*[df[c] for c in df.columns], F.coalesce(bits[bit].bitwiseAND(one) != 0, F.lit(False)).alias(name))
+
+
+def only_rows(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """The rows of ``df`` that ``maybe_wanted`` lets through."""
+    name = free_name(df, "_may")
+    return maybe_wanted(df, key, wanted, wanted_key, name).filter(name).drop(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

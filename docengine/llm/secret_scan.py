@@ -9,12 +9,13 @@ texts that remain are searched by that rule. A rule without a mandatory trigram
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialize, maybe_broadcast
+from .common import materialize, maybe_wanted
 
 try:  # the parser of the standard library's regular expressions
     from re import _constants as sre_constants
@@ -47,6 +48,9 @@ RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
 )
 
+SPANS = "array<struct<start:long,ord:int,end:long,kind:string>>"
+#: Lengths summed up at a time.
+BLOCK = 256
 #: A set of alternatives larger than this is no longer followed.
 MOST_STRINGS = 64
 
@@ -133,14 +137,15 @@ def trigram_index(docs: DataFrame, trigrams: list[str], id_col: str, text_col: s
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(doc_id, rules): a bit for each rule whose query the document's postings satisfy; documents without any are left out."""
+    """(doc_id, rules): the places of the rules whose query the document's postings satisfy; documents without any are left out."""
     queries = {k: q for k, r in enumerate(rules) if (q := trigram_query(r.pattern))}
     names = sorted({t for q in queries.values() for clause in q for s in clause for t in s})
-    if len(names) > 62 * 8:
-        raise ValueError("too many trigrams for one index; scan with fewer rules at a time")
     words = [names[i : i + 62] for i in range(0, len(names), 62)]
     place = {t: (w, 1 << b) for w, group in enumerate(words) for b, t in enumerate(group)}
-    masks = [F.bit_or(F.coalesce(F.element_at(F.create_map(*[x for t in group for x in (F.lit(t), F.lit(place[t][1]).cast("long"))]), F.col("trigram")), F.lit(0).cast("long"))).alias(f"m{w}") for w, group in enumerate(words)]
+    masks = []
+    for w, group in enumerate(words):
+        bit = F.element_at(F.create_map(*[x for t in group for x in (F.lit(t), F.lit(place[t][1]).cast("long"))]), F.col("trigram"))
+        masks.append(F.bit_or(F.coalesce(bit, F.lit(0).cast("long"))).alias(f"m{w}"))
     merged = index.groupBy("doc_id").agg(*masks)
 
     def has(trigrams: frozenset[str]) -> Column:
@@ -151,7 +156,7 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
                 out = out & (F.col(f"m{w}").bitwiseAND(F.lit(need).cast("long")) == need)
         return out
 
-    bits = F.lit(0).cast("long")
+    fit = []
     for k, query in queries.items():
         ok = F.lit(True)
         for clause in query:
@@ -159,23 +164,50 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
             for s in clause:
                 some = some | has(s)
             ok = ok & some
-        bits = bits + F.when(ok, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long"))
-    return merged.select("doc_id", bits.alias("rules")).filter("rules != 0")
+        fit.append(F.when(ok, F.lit(k)))
+    return merged.select("doc_id", F.array_compact(F.array(*fit)).alias("rules")).filter(F.size("rules") > 0)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _sums(lengths: Column) -> Column:
+    """array<array<long>>: for each block of lengths, the sum of all before it, then the running sums in it.
+
+    Appending to an array copies it, so sums run over short blocks, and over the blocks' totals.
+    """
+
+    def append(acc: Column, x: Column) -> Column:
+        return F.concat(acc, F.array(F.element_at(acc, -1) + x))
+
+    zero = F.lit(0).cast("long")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int")), lambda b: F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK)))
+    return _let(
+        blocks,
+        lambda of: _let(
+            F.aggregate(F.transform(of, lambda s: F.aggregate(s, zero, lambda n, x: n + x)), F.array(zero), append),
+            lambda before: F.transform(of, lambda s, b: F.aggregate(s, F.array(F.get(before, b)), append)),
+        ),
+    )
 
 
 def rule_spans(text: Column, rule: Rule, order: int) -> Column:
     """array<struct<start, ord, end, kind>> of the rule's leftmost matches in code points: lengths of matches and of what is between them."""
     hits = F.regexp_extract_all(text, F.lit(rule.pattern), 0)
     counted = F.regexp_extract_all(text, F.lit(rule.pattern), rule.group) if rule.group else hits
-    gaps = F.split(text, rule.pattern, -1)
-    none = F.array().cast("array<struct<start:long,ord:int,end:long,kind:string>>")
-    step = lambda acc, x: F.struct(
-        (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).cast("long").alias("at"),
-        F.when(F.length(x["counted"]) >= rule.least, F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["gap"])).cast("long").alias("start"), F.lit(order).alias("ord"), (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).cast("long").alias("end"), F.lit(rule.kind).alias("kind"))))).otherwise(acc["out"]).alias("out"),
-    )
-    parts = F.arrays_zip(hits.alias("hit"), counted.alias("counted"), F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"))
-    found = F.aggregate(parts, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(rule.pattern), found).otherwise(none)
+    sizes = lambda of: F.transform(of, lambda x: F.length(x).cast("long"))
+
+    def spans(hit: Column) -> Column:
+        gaps = F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(hit))
+        steps = F.zip_with(sizes(gaps), hit, lambda gap, n: gap + n)
+        ends = _let(steps, lambda all_steps: F.flatten(F.transform(_sums(all_steps), lambda s: F.slice(s, F.lit(2), F.size(s) - 1))))
+        parts = F.arrays_zip(hit.alias("n"), (sizes(counted) if rule.group else hit).alias("counted"), ends.alias("end"))
+        parts = F.filter(parts, lambda x: x["counted"] >= rule.least) if rule.least else parts
+        return F.transform(parts, lambda x: F.struct((x["end"] - x["n"]).alias("start"), F.lit(order).alias("ord"), x["end"].alias("end"), F.lit(rule.kind).alias("kind")))
+
+    return F.when(text.rlike(rule.pattern), _let(sizes(hits), spans)).otherwise(F.array().cast(SPANS))
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -183,23 +215,31 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A row for each row of ``docs``; a null text is an empty one, without matches. Rows of one id, null ids too, share their
     candidates, which are verified on each row's own text. An empty table gives an empty one; other columns aren't read.
+    The work grows with the text and its matches, however many one text has. Only texts that a Bloom filter of fixed size
+    lets through are shuffled to their candidates' rows, at every size of the table.
     """
     own = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
     indexed = {k for k, r in enumerate(rules) if trigram_query(r.pattern)}
     trigrams = sorted({t for k in indexed for clause in trigram_query(rules[k].pattern) for s in clause for t in s})
     text = F.coalesce("text", F.lit(""))
-    if trigrams:
-        found = materialize(candidates(trigram_index(own, trigrams, "doc_id", "text"), rules).select(F.col("doc_id").alias("_key"), "rules"), "candidates")
-        n = found.limit(BROADCAST_ROWS + 1).count()
-        own = own.join(maybe_broadcast(found, n), own["doc_id"].eqNullSafe(found["_key"]), "left").drop("_key")
-    else:
-        own = own.withColumn("rules", F.lit(0).cast("long"))
-    none = F.array().cast("array<struct<start:long,ord:int,end:long,kind:string>>")
-    each = []
-    for k, r in enumerate(rules):
-        spans = rule_spans(text, r, k)
-        each.append(F.when(F.coalesce(F.col("rules"), F.lit(0)).bitwiseAND(F.lit(1 << k).cast("long")) != 0, spans).otherwise(none) if k in indexed else spans)
-    return own.select("doc_id", F.array_sort(F.concat(*each)).alias("spans"))
+
+    def found(wanted: Column | None) -> Column:
+        """The spans of the rules that are not indexed, and of those wanted."""
+        each = []
+        for k, r in enumerate(rules):
+            if k not in indexed:
+                each.append(rule_spans(text, r, k))
+            elif wanted is not None:
+                each.append(F.when(F.array_contains(wanted, k), rule_spans(text, r, k)).otherwise(F.array().cast(SPANS)))
+        return (F.array_sort(F.concat(*each)) if each else F.array().cast(SPANS)).alias("spans")
+
+    if not trigrams:
+        return own.select("doc_id", found(None))
+    asked = materialize(candidates(trigram_index(own, trigrams, "doc_id", "text"), rules).select(F.col("doc_id").alias("key"), "rules"), "candidates")
+    marked = maybe_wanted(own, "doc_id", asked, "key", "may")
+    searched = marked.filter("may").join(asked, marked["doc_id"].eqNullSafe(asked["key"]), "left")
+    none = F.array().cast("array<int>")
+    return searched.select("doc_id", found(F.coalesce("rules", none))).union(marked.filter("NOT may").select("doc_id", found(None)))
 
 
 def spans_text(spans: Column) -> Column:
