@@ -134,7 +134,8 @@ def parse(b: bytes) -> Movie:
     try:
         for top, _, a, z in elements(b, 0, len(b), 0):
             for ident, _, x, y in elements(b, a, z, 0) if top == SEGMENT else ():
-                inner = [(i, p, q) for i, _, p, q in elements(b, x, y, 1)] if ident in (INFO, TRACKS, CLUSTER, CUES) else []
+                # read one by one: what stands before a fault counts
+                inner = ((i, p, q) for i, _, p, q in elements(b, x, y, 1)) if ident in (INFO, TRACKS, CLUSTER, CUES) else ()
                 if ident == INFO:
                     for i, p, q in inner:
                         if i == TIMESTAMP_SCALE:
@@ -148,9 +149,11 @@ def parse(b: bytes) -> Movie:
                             audio = {j: (r, s) for j, _, r, s in elements(b, *own[AUDIO], 3)} if AUDIO in own else {}
                             m.tracks.append({"number": _uint(b, *own[TRACK_NUMBER]) if TRACK_NUMBER in own else None, "type": _uint(b, *own[TRACK_TYPE]) if TRACK_TYPE in own else None, "codec": b[slice(*own[CODEC_ID])].decode("latin-1") if CODEC_ID in own else None, "step": _uint(b, *own[DEFAULT_DURATION]) if DEFAULT_DURATION in own else None, "rate": _float(b, *audio[SAMPLING]) if SAMPLING in audio else None, "bits": _uint(b, *audio[BIT_DEPTH]) if BIT_DEPTH in audio else None})
                 elif ident == CLUSTER:
-                    time = next((_uint(b, p, q) for i, p, q in inner if i == CLUSTER_TIME), 0)
+                    time = 0  # a cluster's time stands before its blocks
                     for i, p, q in inner:
-                        if i == SIMPLE_BLOCK:
+                        if i == CLUSTER_TIME:
+                            time = _uint(b, p, q)
+                        elif i == SIMPLE_BLOCK:
                             _block(b, p, q, m, clusters, time, True, False)
                         elif i == BLOCK_GROUP:
                             parts = {j: (r, s) for j, _, r, s in elements(b, p, q, 2)}
@@ -275,7 +278,8 @@ def describe(text: str | None) -> dict:
     samples = np.frombuffer(back, np.uint8)
     ends = movie.packets[-1]["timestamp"] // 1_000_000 if movie.packets else 0
     laced = sum(p["lace"] > 0 for p in movie.packets)
-    feature = f"packets={len(movie.packets)};clusters={len({p['cluster'] for p in movie.packets})};cues={len(movie.cues)};laced={laced};last_ms={ends};sum={int(samples.sum(dtype=np.int64))};max={int(samples.max()) if len(samples) else 0};turns={int(np.count_nonzero(np.diff(samples > 127)))}"
+    cued = sum(media[c["position"] : c["position"] + 4] == CLUSTER.to_bytes(4, "big") for c in movie.cues)  # that point at a cluster
+    feature = f"packets={len(movie.packets)};clusters={len({p['cluster'] for p in movie.packets})};cues={len(movie.cues)};cued={cued};laced={laced};last_ms={ends};sum={int(samples.sum(dtype=np.int64))};max={int(samples.max()) if len(samples) else 0};turns={int(np.count_nonzero(np.diff(samples > 127)))}"
     return {"n_bytes": n, "payload_bytes": len(back), "payload_sha256": hashlib.sha256(back).hexdigest(), "tail_crc32": zlib.crc32(back[-32:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": feature}
 
 
@@ -291,7 +295,9 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature), a row for each row.
 
-    Every text is muxed, parsed again, and the packets' bytes are put together; no shuffle, one file in memory at a time.
+    Every text is muxed, parsed again, and the packets' bytes are put together; no shuffle, one file in memory at a time. Null
+    and empty texts are one frame of padding; repeated rows and ids, null ids too, give rows each; an empty table gives an
+    empty one. Other columns are not read, whatever their names.
     """
     own = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     schema = StructType([own.schema["id"], *[StructField(k, StringType() if t == pa.string() else LongType()) for k, t in DIGEST.items()]])
