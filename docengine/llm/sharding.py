@@ -66,28 +66,28 @@ def number_slots(rows: DataFrame, id_col: str, tie_cols: list[str], range_rows:
     """``rows`` with ``slot``: 0, 1, ... within each shard, by the hash of the id, then the id, then ``tie_cols``.
 
     Hash ranges spread the ids over tasks; rows equal in id and ``tie_cols`` are spread by their hashed position in a
-    Parquet copy of ``rows`` if they alone exceed a range, and are numbered in any order.
+    Parquet copy of ``rows`` if they alone exceed a range, and are numbered in any order. A column ``slot`` is replaced; other
+    columns stay, whatever their names. Null ids count as one key; an empty table gives an empty one.
     """
-    done = rows.withColumn("_hash", key_hash(rows[id_col]))
-    done = materialize(done, "sharded")
+    hashed, part, dealt, at, start, many, place = (free_name(rows, n) for n in ("_hash", "_range", "_salt", "_at", "_start", "_parts", "_row"))
+    kept = [c for c in rows.columns if c.lower() != "slot"]
+    done = materialize(rows.select(*kept, key_hash(rows[id_col]).alias(hashed)), "sharded")
     total = done.count()
     bits = max(0, int(np.ceil(np.log2(max(1, total / range_rows)))))
-    part = F.shiftrightunsigned("_hash", 64 - bits).cast("long") if bits else F.lit(0).cast("long")
-    done = done.withColumn("_range", part)
+    done = done.withColumn(part, F.shiftrightunsigned(hashed, 64 - bits).cast("long") if bits else F.lit(0).cast("long"))
     # a key with more rows than a range is dealt to several ranges by position
-    sums = done.groupBy("shard", "_range").count()
-    full = sums.filter(F.col("count") > 4 * range_rows).select("shard", "_range", (F.col("count") / range_rows).cast("int").alias("_parts"))
-    crowded = full.count() > 0
+    sums = done.groupBy("shard", part).agg(F.count("*").alias(many))
+    full = sums.filter(F.col(many) > 4 * range_rows).select("shard", part, (F.col(many) / range_rows).cast("int").alias(many))
+    crowded = full.count()
     if crowded:
-        done = done.select("*", F.col("_metadata.row_index").alias("_row")).join(F.broadcast(full), ["shard", "_range"], "left")
-        spread = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64("_row"), F.col("_parts"))).otherwise(F.lit(0))
-        done = done.withColumn("_salt", spread.cast("long"))
+        done = done.select("*", F.col("_metadata.row_index").alias(place)).join(maybe_broadcast(full, crowded), ["shard", part], "left")
+        done = done.withColumn(dealt, F.when(F.col(many).isNotNull(), F.pmod(F.xxhash64(place), F.col(many))).otherwise(F.lit(0)).cast("long"))
     else:
-        done = done.withColumn("_salt", F.lit(0).cast("long"))
-    sums = done.groupBy("shard", "_range", "_salt").count()
-    order = Window.partitionBy("shard").orderBy("_range", "_salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = materialize(sums.withColumn("_start", F.coalesce(F.sum("count").over(order), F.lit(0))).drop("count"), "starts")
-    within = Window.partitionBy("shard", "_range", "_salt").orderBy("_hash", id_col, *tie_cols)
-    placed = done.withColumn("_at", F.row_number().over(within))
-    placed = placed.join(maybe_broadcast(starts, starts.count()), ["shard", "_range", "_salt"])
-    return placed.withColumn("slot", (F.col("_start") + F.col("_at") - 1).cast("long")).select(*rows.columns, "slot")
+        done = done.withColumn(dealt, F.lit(0).cast("long"))
+    sums = done.groupBy("shard", part, dealt).agg(F.count("*").alias(start))
+    order = Window.partitionBy("shard").orderBy(part, dealt).rowsBetween(Window.unboundedPreceding, -1)
+    starts = materialize(sums.withColumn(start, F.coalesce(F.sum(start).over(order), F.lit(0))), "starts")
+    within = Window.partitionBy("shard", part, dealt).orderBy(hashed, id_col, *tie_cols)
+    placed = done.withColumn(at, F.row_number().over(within))
+    placed = placed.join(maybe_broadcast(starts, starts.count()), ["shard", part, dealt])
+    return placed.select(*kept, (F.col(start) + F.col(at) - 1).cast("long").alias("slot"))
