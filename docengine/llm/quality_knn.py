@@ -53,12 +53,14 @@ class Model:
     def score(self, terms: np.ndarray) -> np.ndarray:
         if not len(self.vectors):
             return np.full(len(terms), self.prior)
-        near = self.embed(terms) @ self.vectors.T
+        # rounded, so that the last bits, which differ with a block's shape, decide nothing
+        near = np.round(self.embed(terms) @ self.vectors.T, 5)
         k = min(self.neighbours, near.shape[1])
-        at = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        w = np.maximum(np.take_along_axis(near, at, 1).astype(np.float64), 0) ** self.power * self.weights[at]
-        total = w.sum(1)
-        return np.where(total > 0, (w * self.labels[at]).sum(1) / np.where(total > 0, total, 1), self.prior)
+        least = -np.partition(-near, k - 1, axis=1)[:, k - 1]
+        row, at = np.nonzero(near >= least[:, None])
+        w = np.maximum(near[row, at].astype(np.float64), 0) ** self.power * self.weights[at]
+        total, good = (np.bincount(row, x, len(terms)) for x in (w, w * self.labels[at]))
+        return np.round(np.where(total > 0, good / np.where(total > 0, total, 1), self.prior), 9)
 
 
 def term_matrix(texts: pa.Array) -> np.ndarray:
@@ -107,9 +109,12 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", per_class: int = 2048, rank: int = 48, neighbours: int = 25, power: float = 8.0) -> Model:
     """Learn from at most ``per_class`` labelled rows of each label, the first by a hash of their ids; held-out rows are left out.
 
-    Without labelled rows the model answers 0.5 to everything; with one label, that label. Null ids and labels don't count.
+    Without labelled rows the model answers 0.5 to everything; with one label, that label. Null ids and labels don't count, nor
+    do ids that have both labels. The ``neighbours`` nearest vote, and all that are as near as the last of them (cosines are
+    compared to five digits), each with its cosine to the power of ``power``, times its label's rows per sampled row.
     """
-    known = labels.select(labels[id_col].alias("_id"), labels[label_col].cast("int").alias("label")).filter(F.col("_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("_id"))).distinct()
+    known = labels.select(labels[id_col].alias("_id"), labels[label_col].cast("int").alias("label")).filter(F.col("_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("_id")))
+    known = known.groupBy("_id").agg(F.min("label").alias("label"), F.max("label").alias("_most")).filter("label = _most").drop("_most")
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}  # two rows
     order = F.md5(F.concat(F.lit("sample:"), F.col("_id").cast("string")))
     sample = known.filter("label = 0").orderBy(order, "_id").limit(per_class).union(known.filter("label = 1").orderBy(order, "_id").limit(per_class))
