@@ -45,6 +45,19 @@ def test_secrets_against_brute_force(spark):
     assert S.scan_secrets(docs.limit(0)).count() == 0
 
 
+def test_many_matches_in_one_text(spark):
+    rng = random.Random(4)
+    text = " ".join(rng.choice(["%024x" % rng.getrandbits(96), "token=abcdef%d" % k, "é prose", "secret: x"]) for k in range(20_000))
+    got = S.scan_secrets(spark.createDataFrame([(1, text), (2, "plain")], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in got} == {1: spans(text), 2: []}
+
+
+def test_any_number_of_rules(spark):
+    rules = tuple(S.Rule(f"k{k}", f"key{k:02d}[a-z]+", 0, 8) for k in range(80)) + (S.Rule("digits", "[0-9]{5}", 0, 5),)
+    docs = spark.createDataFrame([(k, f"x key{k:02d}abcdef y 12345") for k in range(80)], "doc_id long, text string")
+    assert all([s["kind"] for s in r["spans"]] == [f"k{r['doc_id']}", "digits"] for r in S.scan_secrets(docs, rules=rules).collect())
+
+
 def test_queries_never_lose_a_match():
     rng = random.Random(1)
     for r in S.RULES:
@@ -85,6 +98,30 @@ def test_urls(spark):
     assert U.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_urls_left_out_of_the_training():
+    right = sum((U.probability(U.train([x for x in U.LABELLED_URLS if x is not one]), *U.split_url(one[0])) >= 0.5) == one[1] for one in U.LABELLED_URLS)
+    assert right >= 0.85 * len(U.LABELLED_URLS), right
+
+
+def test_probability_by_definition():
+    def bins(host, path):
+        out = set()
+        for mark, text in (("h", f"^{host}$"), ("p", f"^{path}$")):
+            for n in (3, 4, 5):
+                for i in range(len(text) - n + 1):
+                    v = ord(mark)
+                    for c in text[i : i + n]:
+                        v = (v * 1000003 + ord(c)) % 2**32
+                    out.add((((v ^ (v >> 15)) * 2654435761) >> 7) % U.BINS)
+        return out
+
+    weights = U.train(U.LABELLED_URLS)
+    for host, path in [("casino.example.com", "/free"), ("é.org", "/" + "a" * 5000), ("", ""), ("www.university.example.org", "/en/x")]:
+        b = bins(host, path)
+        z = sum(weights[k] for k in b) / max(1, len(b)) ** 0.5 + weights[U.BINS]
+        assert U.probability(weights, host, path) == pytest.approx(1 / (1 + np.exp(-z)))
+
+
 # Matroska
 
 
@@ -126,9 +163,42 @@ def test_unknown_sizes_and_groups():
     assert movie.error is None and [(p["cluster"], p["timestamp"], p["keyframe"]) for p in movie.packets] == [(0, 12_000_000, True), (1, 12_000_000, True)]
 
 
+def test_packets_up_to_the_fault(spark):
+    media = M.mux(b"abcdefgh" * 72 * 40)
+    whole = M.parse(media).packets
+    for k in (1, len(whole) // 2, len(whole) - 1):
+        got = M.parse(media[: whole[k]["offset"]])
+        n = len(got.packets)
+        assert got.error and got.packets == whole[:n] and k - 8 <= n <= k  # a block's frames count once all of it is there
+    assert M.media_digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert "cued=" in M.describe("x" * 50_000)["feature"]
+
+
 # quality classifier
 
 
+def test_votes_by_brute_force():
+    rng = np.random.default_rng(3)
+    vectors = np.eye(6, 4, dtype=np.float32)[rng.integers(0, 4, 60)]
+    labels, weights = rng.integers(0, 2, 60).astype(float), rng.random(60) + 0.5
+    model = Q.Model(np.ones(4, np.float32), np.eye(4, dtype=np.float32), vectors, labels, weights, 7, 3.0)
+    texts = rng.random((40, 4)).astype(np.float32)
+    for row, got in zip(texts, model.score(texts), strict=True):
+        unit = row / np.linalg.norm(row)
+        near = [round(float(np.float32(unit @ v)), 5) for v in vectors]
+        last = sorted(near, reverse=True)[6]
+        votes = [(max(c, 0) ** 3 * w, y) for c, w, y in zip(near, weights, labels, strict=True) if c >= last - 5e-6]
+        assert got == pytest.approx(sum(v * y for v, y in votes) / sum(v for v, _ in votes), abs=1e-4)
+
+
+def test_an_id_with_both_labels_teaches_nothing(spark):
+    docs = spark.createDataFrame([(k, f"text {k} " * 9) for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, q) for k in range(40) for q in (0, 1)], "doc_id long, quality int")
+    assert {r["score"] for r in Q.score_quality(docs, Q.fit(docs, labels, "quality")).collect()} == {0.5}
+    assert 0 <= Q.score_quality(spark.createDataFrame([(1, "long text " * 200_000)], "doc_id long, text string"), Q.fit(docs, labels, "quality")).first()["score"] <= 1
+
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     scored = Q.score_quality(docs.withColumn("score", F.lit("clash")), Q.fit(docs, labels, "quality"))
@@ -197,6 +267,14 @@ def test_token_round_trip(spark, tmp_path):
     again = K.write_token_shards(docs, uri, length=64, per_shard=50).collect()
     assert sorted(map(str, again)) == sorted(map(str, rows))
     assert K.write_token_shards(docs.limit(0), "file://" + str(tmp_path / "none")).count() == 0
+    # a shard that is missing is written again; a folder of other texts or another key is refused and stays as it is
+    (tmp_path / "out" / K.shard_name(0)).unlink()
+    assert sorted(map(str, K.write_token_shards(docs, uri, length=64, per_shard=50).collect())) == sorted(map(str, rows))
+    other = docs.withColumn("text", F.regexp_replace("text", "a", "o"))
+    for wrong in ((docs, {"key": "other"}), (other, {})):
+        with pytest.raises(Exception, match="another table|other sequences|other parameters"):
+            K.write_token_shards(wrong[0], uri, length=64, per_shard=50, **wrong[1]).collect()
+    assert np.array_equal(K.read_slots(uri, 0, total), back)
 
 
 def test_words_are_encoded_as_whole_texts():
@@ -241,6 +319,16 @@ def test_shards(spark):
     assert H.number_slots(H.assign_shards(docs.limit(0)), "doc_id", []).count() == 0
 
 
+def test_columns_of_any_name_stay(spark):
+    names = ["_hash", "_range", "_salt", "_start", "_at", "_parts", "_row", "slot", "_key_hash"]
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), *[(F.col("id") * 10 + k).alias(n) for k, n in enumerate(names)])
+    hot = docs.withColumn("doc_id", F.when(F.col("doc_id") < 200, 1).otherwise(F.col("doc_id")))
+    for own in (docs, hot):
+        rows = H.number_slots(H.assign_shards(own), "doc_id", [], range_rows=20).collect()
+        assert len(rows) == 300 and all(r[n] % 10 == k and r[n] // 10 == r["_hash"] // 10 for r in rows for k, n in enumerate(names) if n != "slot")
+        assert sorted((r["shard"], r["slot"]) for r in rows) == sorted((s, i) for s in range(8) for i in range(sum(r["shard"] == s for r in rows)))
+
+
 def test_one_hot_key(spark):
     docs = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("doc_id"))
     rows = H.number_slots(H.assign_shards(docs), "doc_id", [], range_rows=50).collect()
