@@ -227,25 +227,31 @@ class NearDuplicates:
     def _near(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs whose bitmaps allow the threshold, once each."""
         pairs = materialize(pairs.distinct(), "pairs")
-        about = only_rows(self.nodes.select("fp", "n", "bits"), "fp", self._ends(pairs), "fp")
+        ends = materialize(self._ends(pairs), "ends")
+        about = only_rows(self.nodes.select("fp", "n", "bits"), "fp", ends, "fp")
         own = lambda s: about.select(F.col("fp").alias(s), F.col("n").alias(f"{s}_n"), F.col("bits").alias(f"{s}_bits")).hint("merge")
         near = materialize(pairs.join(own("a"), "a").join(own("b"), "b").filter(self._bound("a_", "b_")).select("a", "b"), "near")
         drop_step(pairs)
+        drop_step(ends)
         return near
 
     def _across(self, now: DataFrame) -> DataFrame:
         """Near pairs (a, b) of an open list that lie in different components, except that members of its leader's component
-        are not paired with each other. The join itself tests them, so that only near pairs come out of it."""
+        are not paired with each other. The join itself tests them, so that only near pairs come out of it, and each in
+        the list of the least token that both are posted under."""
         now = self._salted(now)
         lead = self._leaders(now).select("token", "salt", "lead_label")
-        open_ = now.join(lead, ["token", "salt"]).join(self.nodes.select("fp", "bits").hint("merge"), "fp")
-        wide = ("fp", "label", *BRIEF, "bits")
+        open_ = now.join(lead, ["token", "salt"])
+        tokens = open_.groupBy("fp").agg(F.collect_list("token").alias("tokens"))
+        open_ = open_.join(tokens.hint("merge"), "fp").join(self.nodes.select("fp", "bits").hint("merge"), "fp")
+        wide = ("fp", "label", *BRIEF, "bits", "tokens")
         one = open_.filter(F.col("label") != F.col("lead_label")).select("token", "salt", "lead_label", *[F.col(c).alias(f"a_{c}") for c in wide])
         # the other side goes to all parts of the list
         two = open_.select("token", F.explode(F.sequence(F.lit(0), F.ceil(F.col("held") / LIST).cast("int") - 1)).alias("part"), F.col("token").alias("other"), *[F.col(c).alias(f"b_{c}") for c in wide]).drop("token")
         once = (F.col("b_label") == F.col("lead_label")) | (F.col("a_fp") < F.col("b_fp"))
         on = (F.col("token") == F.col("other")) & (F.col("salt") == F.col("part")) & (F.col("a_label") != F.col("b_label")) & once & self._may(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}")) & self._bound("a_", "b_")
-        pairs = one.join(two.hint("merge"), on)
+        first = F.array_min(F.array_intersect("a_tokens", "b_tokens")) == F.col("token")
+        pairs = one.join(two.hint("merge"), on & first)
         return materialize(pairs.select(F.least("a_fp", "b_fp").alias("a"), F.greatest("a_fp", "b_fp").alias("b")).distinct(), "near")
 
     def _may(self, a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
@@ -273,7 +279,8 @@ class NearDuplicates:
 
     def _confirmed(self, near: DataFrame, sets: list[DataFrame]) -> DataFrame:
         """Those of the pairs (a, b) that reach the threshold on their full sets; sets not made yet are added to ``sets``."""
-        need = self._ends(near)
+        ends = materialize(self._ends(near), "ends")
+        need = ends
         for made in sets:
             need = need.join(made.select("fp"), "fp", "left_anti")
         need = materialize(need.join(only_rows(self.nodes.select("fp", "rep"), "fp", need, "fp"), "fp"), "need")
@@ -282,11 +289,12 @@ class NearDuplicates:
         whole = sets[0]
         for made in sets[1:]:
             whole = whole.union(made)
-        whole = only_rows(whole, "fp", self._ends(near), "fp")
+        whole = only_rows(whole, "fp", ends, "fp")
         side = lambda s: whole.select(F.col("fp").alias(s), F.col("members").alias(f"set_{s}")).hint("merge")
         ready = near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
         found = materialize(ready.mapInArrow(partial(_confirm, up=self.up, down=self.down), "a binary, b binary"), "links")
         drop_step(near)
+        drop_step(ends)
         return found
 
     def classes(self) -> DataFrame:
