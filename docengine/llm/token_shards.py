@@ -4,7 +4,8 @@ Documents are tokenised and packed, with an end mark after each, into sequences
 packs the rows of its own input split. A keyed Feistel permutation with cycle-walking gives every sequence a global slot,
 and slots fall into shards of a fixed number of sequences. Tasks that hold whole shards, dealt by range, write them with a
 fixed stride: sequence ``i`` of a shard starts at byte ``i * stride``, so a reader can go on anywhere. A shard is written
-under another name and renamed; one that exists is left as it is, so a job that died can be run again.
+under another name and renamed; one that exists is left as it is if it holds the same bytes, so a job that died can be run
+again, and the job fails if it holds others.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 END = 50256
 LENGTH = 512
 PER_SHARD = 4096
+#: Bytes of sequences that one task places at most, if there are that many shards.
+TASK_BYTES = 256_000_000
 #: Words whose token ids a worker remembers.
 REMEMBERED = 400_000
 
@@ -48,6 +51,9 @@ class Tokenizer:
 
         self.encoding = tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes] = {}
+        #: Tokens that begin with a blank: in a row of words, each word's first one.
+        self.first = np.zeros(1 << 16, bool)
+        self.first[[rank for token, rank in ranks.items() if token.startswith(b" ")]] = True
         # pieces never cross a space that a non-space follows, so a text in which every space is such is encoded word by word
         self.apart = re.compile(r" (?:\s|$)")
 
@@ -61,15 +67,28 @@ class Tokenizer:
         if self.apart.search(text):
             return self._whole(text)
         first, *rest = text.split(" ")
-        known, out = self.known, [self._whole(first)]
-        for w in rest:
-            ids = known.get(w)
-            if ids is None:
-                ids = self._whole(" " + w)
-                if len(known) < REMEMBERED:
-                    known[w] = ids
-            out.append(ids)
-        return b"".join(out)
+        return self._whole(first) + b"".join(self._words(rest))
+
+    def count(self, text: str) -> int:
+        """How many tokens the text has."""
+        if self.apart.search(text):
+            return len(self._whole(text)) // 2
+        first, *rest = text.split(" ")
+        return (len(self._whole(first)) + sum(map(len, self._words(rest)))) // 2
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word with a blank before it; those not remembered are encoded in one go."""
+        out = list(map(self.known.get, words))
+        if None in out:
+            gaps = [k for k, x in enumerate(out) if x is None]
+            new = [words[k] for k in gaps]
+            ids = np.array(self.encoding.encode_ordinary(" " + " ".join(new)), "<u2")
+            at, raw = np.flatnonzero(self.first[ids]).tolist(), ids.tobytes()
+            found = [raw[2 * a : 2 * b] for a, b in zip(at, [*at[1:], len(ids)], strict=True)] if len(at) == len(new) else [self._whole(" " + w) for w in new]
+            for k, x in zip(gaps, found, strict=True):
+                out[k] = x
+            self.known.update(zip(new[: max(0, REMEMBERED - len(self.known))], found, strict=False))
+        return out
 
 
 def tokenizer(shared: Broadcast) -> Tokenizer:
@@ -110,9 +129,9 @@ def _packed(batches: Iterator[pa.RecordBatch], shared: Broadcast, length: int, e
 
 
 def _counts(batches: Iterator[pa.RecordBatch], shared: Broadcast, length: int) -> Iterator[pa.RecordBatch]:
-    encode, tokens = tokenizer(shared), 0
+    count, tokens = tokenizer(shared).count, 0
     for _, text in _texts(batches):
-        tokens += len(encode(text)) // 2 + 1
+        tokens += count(text) + 1
     yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([-(-tokens // length)], pa.int64())], names=["part", "sequences"])
 
 
@@ -134,9 +153,9 @@ def feistel(index: np.ndarray, size: int, key: str, rounds: int = 6) -> np.ndarr
     return out.astype(np.int64)
 
 
-def _slotted(batches: Iterator[pa.RecordBatch], shared: Broadcast, length: int, end: int, starts: dict[int, tuple[int, int]], total: int, key: str, per_shard: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _slotted(batches: Iterator[pa.RecordBatch], shared: Broadcast, length: int, end: int, starts: Broadcast, total: int, key: str, per_shard: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
-    start, promised = starts.get(part, (0, 0))
+    start, promised = starts.value.get(part, (0, 0))
     seen = 0
 
     def batch(rows: list) -> pa.RecordBatch:
@@ -170,8 +189,7 @@ def _written(batches: Iterator[pa.RecordBatch], uri: str, per_shard: int, total:
         path, n = f"{root}/{shard_name(shard)}", min(per_shard, total - shard * per_shard)
         if [r[0] for r in rows] != list(range(shard * per_shard, shard * per_shard + n)):
             raise RuntimeError(f"shard {shard} is incomplete")
-        info = files.get_file_info(path)
-        if info.type == fs.FileType.NotFound or info.size != n * stride:
+        if files.get_file_info(path).type == fs.FileType.NotFound:
             tmp = f"{path}.{TaskContext.get().taskAttemptId()}.tmp"
             with files.open_output_stream(tmp) as f:
                 for r in rows:
@@ -179,6 +197,8 @@ def _written(batches: Iterator[pa.RecordBatch], uri: str, per_shard: int, total:
             files.move(tmp, path)
         with files.open_input_file(path) as f:
             back = f.read()
+        if len(back) != n * stride or any(back[k * stride : (k + 1) * stride] != r[3] for k, r in enumerate(rows)):
+            raise RuntimeError(f"{path} holds other sequences than these; use another folder")
         sums = [zlib.crc32(back[k * stride : (k + 1) * stride]) for k in range(n)]
         cols = [pa.array([r[0] for r in rows]), pa.array([shard] * n, pa.int64()), pa.array([k * stride for k in range(n)], pa.int64()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], batch.schema.field("doc_ids").type), pa.array(sums, pa.int64())]
         return pa.RecordBatch.from_arrays(cols, names=["slot", "shard", "offset", "sequence", "doc_ids", "crc32"])
@@ -200,7 +220,8 @@ def write_token_shards(docs: DataFrame, uri: str | None = None, id_col: str = "d
 
     ``doc_ids`` lists the documents with tokens in the sequence (an end mark is one), in order; ``sequence`` is its number
     before the permutation. Null and empty texts are an end mark alone; repeated rows are written each; null ids stay null.
-    An empty table writes no shard. ``docs`` must give the same splits when read twice, as files do; if it doesn't, the job
+    An empty table writes no shard. A folder that holds the shards of other texts, splits or parameters is refused, as a whole or
+    by the first shard that differs; nothing in it is changed. ``docs`` must give the same splits when read twice, as files do; if it doesn't, the job
     fails rather than write wrong shards. Only the two named columns are read.
     """
     spark = docs.sparkSession
@@ -210,10 +231,11 @@ def write_token_shards(docs: DataFrame, uri: str | None = None, id_col: str = "d
         digest = hashlib.sha256(f.read()).hexdigest()
     shared = spark.sparkContext.broadcast((digest, load_ranks(vocabulary)))  # fixed size: the vocabulary's
     counted = own.mapInArrow(partial(_counts, shared=shared, length=length), "part int, sequences long")
-    starts, total = {}, 0
+    numbers, total = {}, 0
     for r in sorted(counted.collect()):  # a row a split
-        starts[r["part"]] = (total, r["sequences"])
+        numbers[r["part"]] = (total, r["sequences"])
         total += r["sequences"]
+    starts = spark.sparkContext.broadcast(numbers)  # two numbers a split
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = own.schema["doc_id"].dataType
@@ -222,10 +244,16 @@ def write_token_shards(docs: DataFrame, uri: str | None = None, id_col: str = "d
     shards = max(1, -(-total // per_shard))
     files, root = fs.FileSystem.from_uri(uri)
     files.create_dir(root, recursive=True)
-    with files.open_output_stream(f"{root}/index.json") as f:
-        f.write(json.dumps({"sequences": total, "length": length, "bytes_per_token": 2, "stride": 2 * length, "per_shard": per_shard, "shards": shards if total else 0, "key": key, "end": end}).encode())
+    index = {"sequences": total, "length": length, "bytes_per_token": 2, "stride": 2 * length, "per_shard": per_shard, "shards": shards if total else 0, "key": key, "end": end, "vocabulary": digest}
+    if files.get_file_info(f"{root}/index.json").type != fs.FileType.NotFound:
+        with files.open_input_file(f"{root}/index.json") as f:
+            if json.loads(f.read()) != index:
+                raise ValueError(f"{uri} holds the shards of another table or of other parameters")
+    else:
+        with files.open_output_stream(f"{root}/index.json") as f:
+            f.write(json.dumps(index).encode())
     out = StructType([StructField("slot", LongType()), StructField("shard", LongType()), StructField("offset", LongType()), StructField("sequence", LongType()), StructField("doc_ids", ArrayType(kind)), StructField("crc32", LongType())])
-    parts = min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * 2 * length // TASK_BYTES)))
     # ranges of shards by arithmetic: no sampling pass, and no shard is cut
     dealt = slotted.repartitionById(parts, F.floor(F.col("shard") * parts / shards).cast("int")).sortWithinPartitions("slot")
     return dealt.mapInArrow(partial(_written, uri=uri, per_shard=per_shard, total=total, stride=2 * length), out)
