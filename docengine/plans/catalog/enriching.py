@@ -84,7 +84,7 @@ def suggested_fields(spark, sf_dir):
 
 
 def mined_patterns(spark, sf_dir):
-    b = typed_blocks(spark, sf_dir).filter("block_ord < 6")
+    b = typed_blocks(spark, sf_dir)
     k = F.col("block_ord")
     f = b.select("doc_id", F.when(k == 2, "항목_1").when(k == 5, "page_header").otherwise("x").alias("name"), F.when(k == 0, "code").when(k == 4, "header").otherwise("text").alias("field_type"), F.when(k == 2, F.concat(F.lit("번호 매겨진 항목: "), "text")).otherwise(F.col("text")).alias("description"))
     m = E.mined_patterns(f)
@@ -131,7 +131,7 @@ def metadata_columns(spark, sf_dir):
 def raw_document(spark, sf_dir):
     b = B.flatten_blocks(coded_docs(spark, sf_dir))
     cells = table_rows(spark, sf_dir).select("doc_id", (F.col("row_ord") % 2).alias("table_ord"), (F.col("row_ord") - 1).alias("row"), F.lit(0).alias("col"), F.col("c0").alias("text"))
-    return E.raw_document(b.filter("block_ord < 3"), cells).select("doc_id", "section_ord", "section_id", "level", "block_ord", "type", "text")
+    return E.raw_document(b, cells).select("doc_id", "section_ord", "section_id", "level", "block_ord", "type", "text")
 
 
 QUERIES = {f.__name__: f for f in (structural_hits, step_backfill, containing_block, header_reconcile, bbox_refine, page_images, table_positions, template_apply, annotation_types, suggested_fields, mined_patterns, synthesised_patterns, diagram_text, enhanced_metadata, structure_summary, table_chunks, process_chunks, metadata_columns, raw_document)}
@@ -146,13 +146,13 @@ ORACLES = {
     "step_backfill": f"SELECT doc_id, 'process_flow_step_' || sequence::VARCHAR AS field, trim(marker || ' ' || title) AS value, 0.9::DOUBLE AS confidence FROM {_STEPS} WHERE sequence IN (1, 2, 4, 5)",
     "containing_block": f"SELECT e.doc_id, field, min(block_ord)::INT AS block_ord FROM {_EXACT} e JOIN {S.CODED_BLOCKS} b ON e.doc_id = b.doc_id AND contains(b.text, e.value) WHERE value IS NOT NULL AND block_ord <> 0 GROUP BY 1, 2",
     "header_reconcile": f"SELECT doc_id, section_ord, heading, coalesce({' , '.join(f'CASE WHEN heading = {S.q(h)} THEN {S.q(h)} END' for h in HEADERS)}, CASE WHEN heading <> '' THEN {S.case([(f'contains(heading, {S.q(h)}) OR contains({S.q(h)}, heading)', S.q(h)) for h in HEADERS], 'NULL')} END) AS header FROM (SELECT doc_id, section_ord, arg_min(heading, block_ord) AS heading FROM {_SECTIONED} GROUP BY 1, 2)",
-    "bbox_refine": f"WITH b AS (SELECT * FROM {_BOXED}), f AS (SELECT doc_id, block_ord AS o, substr(text, 1, 9) AS value, x1 AS a1, y1 AS a2, x2 AS a3, y2 AS a4 FROM b WHERE block_ord IN (2, 4, 7)), m AS (SELECT b.doc_id, b.block_ord, arg_min({{'a': a1, 'b': a2, 'c': a3, 'd': a4}}, o) AS m FROM b JOIN f ON b.doc_id = f.doc_id AND (contains(text, value) OR contains(value, text)) WHERE b.block_ord % 2 = 0 GROUP BY 1, 2) SELECT b.doc_id, b.block_ord::INT AS block_ord, text, coalesce(m.m.a, CASE WHEN b.block_ord % 2 = 0 THEN 0.0 ELSE x1 END) AS x1, coalesce(m.m.b, CASE WHEN b.block_ord % 2 = 0 THEN 0.0 ELSE y1 END) AS y1, coalesce(m.m.c, CASE WHEN b.block_ord % 2 = 0 THEN 100.0 ELSE x2 END) AS x2, coalesce(m.m.d, CASE WHEN b.block_ord % 2 = 0 THEN 20.0 ELSE y2 END) AS y2 FROM b LEFT JOIN m ON b.doc_id = m.doc_id AND b.block_ord = m.block_ord",
+    "bbox_refine": f"WITH b AS MATERIALIZED (SELECT * FROM {_BOXED}), f AS (SELECT doc_id, list({{'o': block_ord, 'v': substr(text, 1, 9), 'a': x1, 'b': y1, 'c': x2, 'd': y2}} ORDER BY block_ord) AS l FROM b WHERE block_ord IN (2, 4, 7) GROUP BY doc_id), m AS (SELECT b.doc_id, b.block_ord, list_filter(l, lambda x: contains(text, x['v']) OR contains(x['v'], text))[1] AS m FROM b JOIN f ON b.doc_id = f.doc_id WHERE b.block_ord % 2 = 0) SELECT b.doc_id, b.block_ord::INT AS block_ord, text, coalesce(m.m.a, CASE WHEN b.block_ord % 2 = 0 THEN 0.0 ELSE x1 END) AS x1, coalesce(m.m.b, CASE WHEN b.block_ord % 2 = 0 THEN 0.0 ELSE y1 END) AS y1, coalesce(m.m.c, CASE WHEN b.block_ord % 2 = 0 THEN 100.0 ELSE x2 END) AS x2, coalesce(m.m.d, CASE WHEN b.block_ord % 2 = 0 THEN 20.0 ELSE y2 END) AS y2 FROM b LEFT JOIN m ON b.doc_id = m.doc_id AND b.block_ord = m.block_ord",
     "page_images": f"SELECT a.doc_id, a.k AS element_ord, b.k AS image_ord FROM {_LI} a JOIN (SELECT DISTINCT doc_id, page, k FROM {_LI} WHERE NOT r) b ON a.doc_id = b.doc_id AND a.page = b.page WHERE a.r",
     "table_positions": f"WITH e AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY k) AS i FROM {_LI} WHERE r), t AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY k) AS i FROM (SELECT DISTINCT doc_id, page, k FROM {_LI} WHERE NOT r)) SELECT e.doc_id, e.page, e.k AS element_ord, t.k AS table_ord FROM e JOIN t USING (doc_id, page, i)",
     "template_apply": f"SELECT doc_id, field, CASE WHEN field = 'author' AND doc_id % 3 = 0 THEN 'f' ELSE 't:' || field END AS bbox, coalesce(value, '') AS value FROM {_EXACT} WHERE field IN ('document_number', 'author')",
     "annotation_types": "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 OR o_orderkey % 10 = 2 THEN '기술기준' WHEN o_orderkey % 4 = 0 THEN '작업표준' WHEN o_orderkey % 4 = 1 THEN '절차서' ELSE '일반문서' END AS doc_type FROM orders",
     "suggested_fields": f"WITH e AS (SELECT doc_id, list_concat(CASE WHEN doc_id % 2 = 0 THEN [('문서번호', 'code'), ('개정번호', 'version'), ('발행일자', 'date'), ('페이지', 'text')] ELSE [] END, list_transform(ids, lambda x: (x, 'code'))) AS f FROM (SELECT doc_id, list_filter(c, lambda x, i: list_position(c, x) = i) AS ids FROM (SELECT doc_id, {_ENT} AS c FROM ({S.CODED_SQL})))) SELECT doc_id, (i - 1)::INT AS ord, f[i][1] AS name, f[i][2] AS field_type FROM (SELECT doc_id, f, unnest(range(1, len(f) + 1)) AS i FROM e)",
-    "mined_patterns": f"WITH b AS (SELECT doc_id, block_ord AS k, text FROM {TYPED} WHERE block_ord < 6) SELECT doc_id, {_SORTED('text', 'k IN (4, 5)')} AS headers, {_SORTED('text', 'k = 2')} AS sections, array_to_string(list_sort(list_distinct(list_concat(['TP-\\d{{3}}-\\d{{3}}-\\d{{3}}'], list(text) FILTER (k = 0)))), '|') AS identifiers FROM b GROUP BY 1",
+    "mined_patterns": f"WITH b AS (SELECT doc_id, block_ord AS k, text FROM {TYPED}) SELECT doc_id, {_SORTED('text', 'k IN (4, 5)')} AS headers, {_SORTED('text', 'k = 2')} AS sections, array_to_string(list_sort(list_distinct(list_concat(['TP-\\d{{3}}-\\d{{3}}-\\d{{3}}'], list(text) FILTER (k = 0)))), '|') AS identifiers FROM b GROUP BY 1",
     "synthesised_patterns": f"SELECT doc_id, block_ord::INT AS block_ord, CASE WHEN block_ord = 9 OR text = '' THEN '.*n.*' WHEN block_ord % 5 = 0 THEN '[A-Z]{{2,4}}-\\d{{3}}-\\d{{3}}-\\d{{3}}' WHEN block_ord % 5 = 1 THEN '\\d{{2,4}}[./-]\\d{{1,2}}[./-]\\d{{1,2}}' WHEN block_ord % 5 = 2 THEN 'Rev\\.?\\s*\\d+' WHEN block_ord % 5 = 3 THEN array_to_string({S.words('text')}[1:3], '.*') ELSE text END AS pattern FROM {S.CODED_BLOCKS}",
     "diagram_text": "WITH e AS (SELECT p_partkey // 7 AS diagram, count(*) AS n, list(p_name ORDER BY p_partkey) FILTER (p_size % 5 <> 0) AS l FROM part GROUP BY 1), c AS (SELECT p_partkey // 7 AS diagram, list('- ' || p_partkey::VARCHAR || ' → ' || (p_partkey + 1)::VARCHAR ORDER BY p_partkey) AS c FROM part WHERE p_size % 3 = 0 GROUP BY 1) SELECT e.diagram, array_to_string(list_concat(list_concat(['Diagram Type: process', 'Elements:'], list_transform(coalesce(l, []), lambda x: '- shape: ' || x)), CASE WHEN c IS NULL THEN [] ELSE list_concat(['Connections:'], c) END), chr(10)) AS text, concat_ws('. ', CASE WHEN len(l) > 0 THEN '주요 단계: ' || array_to_string(l[1:5], ', ') END, CASE WHEN c IS NOT NULL THEN '연결 관계: ' || len(c)::VARCHAR || '개' END, CASE WHEN n = 1 THEN '단일 요소' ELSE '총 ' || n::VARCHAR || '개 요소로 구성된 프로세스 플로우' END) AS description FROM e LEFT JOIN c USING (diagram)",
     "enhanced_metadata": f"WITH v AS (SELECT doc_id, max(value) FILTER (field = 'document_number') AS n, max(value) FILTER (field = 'effective_date') AS e, max(value) FILTER (field = 'revision') AS r FROM {_EXACT} GROUP BY 1) SELECT d.doc_id, CASE WHEN length(substr(title, 1, 8)) > 5 AND length(title) > 8 THEN substr(title, 1, 8) ELSE title END AS title, coalesce(nullif(n, ''), number) AS number, coalesce(nullif(e, ''), date) AS date, coalesce(trim(replace(nullif(r, ''), 'Rev.', '')), revision) AS revision FROM {_DOCS} d LEFT JOIN v USING (doc_id)",
@@ -160,5 +160,5 @@ ORACLES = {
     "table_chunks": f"SELECT doc_id, doc_id::VARCHAR || '_table' AS chunk_id, length(t)::BIGINT AS chars, {S.joined(_TOKEN)} AS keywords, 0.85::DOUBLE AS confidence FROM (SELECT doc_id, '표 헤더: part | qty | flag' || string_agg(chr(10) || '행 ' || row_ord::VARCHAR || ': ' || c0 || ' | ' || c1 || ' | ' || c2, '' ORDER BY row_ord) AS t, 'part qty flag ' || string_agg(c0 || ' ' || c1 || ' ' || c2, ' ' ORDER BY row_ord) AS text FROM {_R} GROUP BY 1)",
     "process_chunks": f"SELECT doc_id, doc_id::VARCHAR || '_process_flow_0' AS chunk_id, '프로세스: flow' || chr(10) || string_agg(marker || ' ' || title || CASE WHEN details <> '' THEN ' (' || details || ')' ELSE '' END, ' → ' ORDER BY sequence) AS text, '프로세스 단계: ' || string_agg(title, ' → ' ORDER BY sequence) AS embedding_text FROM {_STEPS} GROUP BY 1",
     "metadata_columns": f"SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN title ELSE 'Untitled Document' END AS title, CASE WHEN doc_id % 2 = 0 THEN 'w' ELSE 'Unknown' END AS author, CASE WHEN doc_id % 5 = 0 THEN 7 ELSE 0 END AS pages, 'ko|en' AS language FROM ({S.CODED_SQL})",
-    "raw_document": f"SELECT doc_id, 0 AS section_ord, 'section_1' AS section_id, 1 AS level, block_ord::INT AS block_ord, 'paragraph' AS type, text FROM {S.CODED_BLOCKS} WHERE block_ord < 3 UNION ALL SELECT doc_id, i::INT, 'table_section_' || (i - 1)::VARCHAR, 2, 0, 'table', 'Table with ' || n::VARCHAR || ' rows' FROM (SELECT doc_id, max(row_ord) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY row_ord % 2) AS i FROM {_R} GROUP BY doc_id, row_ord % 2)",
+    "raw_document": f"SELECT doc_id, 0 AS section_ord, 'section_1' AS section_id, 1 AS level, block_ord::INT AS block_ord, 'paragraph' AS type, text FROM {S.CODED_BLOCKS} UNION ALL SELECT doc_id, i::INT, 'table_section_' || (i - 1)::VARCHAR, 2, 0, 'table', 'Table with ' || n::VARCHAR || ' rows' FROM (SELECT doc_id, max(row_ord) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY row_ord % 2) AS i FROM {_R} GROUP BY doc_id, row_ord % 2)",
 }

@@ -91,10 +91,13 @@ def html_strip(spark, sf_dir):
 
 
 def html_blocks(spark, sf_dir):
-    parts = F.regexp_extract_all(F.col("html"), F.lit(r"(?is)<(?:h1|p|li)[^>]*>[^<]*"), 0)
-    b = read(spark, sf_dir, "pages").select("page_id", F.posexplode(parts).alias("block_ord", "part"))
-    kind = F.when(F.lower("part").startswith("<h1"), "heading").when(F.lower("part").startswith("<li"), "list").otherwise("paragraph")
-    return b.select("page_id", "block_ord", kind.alias("type"), T.strip_html(F.col("part")).alias("text"))
+    """Each block up to its closing tag, or the next block's tag; inner tags are stripped."""
+    marked = F.regexp_replace("html", r"(?i)<(/?)(h1|p|li)(?:\s[^>]*)?>", "\x01$1$2\x02")
+    opened = F.filter(F.split(marked, "\x01"), lambda x, i: (i > 0) & ~x.startswith("/"))
+    b = read(spark, sf_dir, "pages").select("page_id", F.posexplode(opened).alias("block_ord", "part"))
+    tag, text = F.lower(F.substring_index("part", "\x02", 1)), F.expr("substr(part, locate('\x02', part) + 1)")
+    kind = F.when(tag == "h1", "heading").when(tag == "li", "list").otherwise("paragraph")
+    return b.select("page_id", "block_ord", kind.alias("type"), T.strip_html(text).alias("text"))
 
 
 def source_files(spark, sf_dir):
@@ -139,6 +142,6 @@ ORACLES = {
     "value_types": "WITH v AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'code' WHEN o_orderkey % 4 = 1 THEN 'date' WHEN o_orderkey % 4 = 2 THEN 'version' ELSE 'title' END AS field_type, lower(o_orderpriority) || CASE WHEN o_orderkey % 3 = 0 THEN '_title' WHEN o_orderkey % 3 = 1 THEN '_rev' ELSE '' END AS name FROM orders) SELECT o_orderkey, field_type, CASE WHEN contains(name, 'title') OR contains(name, 'date') OR contains(name, 'code') THEN 'critical' WHEN contains(name, 'rev') OR contains(name, 'version') THEN 'high' ELSE 'medium' END AS importance FROM v",
     "content_structure": f"SELECT doc_id, regexp_matches(text, '\\d+\\.') AS has_numbering, regexp_matches(text, '[•\\-\\*]\\s') AS has_bullet_points, len({S.ids('text')}) > 0 AS has_technical_refs, len(regexp_split_to_array(text, '[.!?]'))::BIGINT AS sentence_count, len(string_split(text, chr(10) || chr(10)))::BIGINT AS paragraph_count FROM documents",
     "html_strip": "SELECT page_id, " + S.strip("regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')") + " AS text FROM pages",
-    "html_blocks": "SELECT page_id, (i - 1)::INT AS block_ord, CASE WHEN starts_with(lower(p[i]), '<h1') THEN 'heading' WHEN starts_with(lower(p[i]), '<li') THEN 'list' ELSE 'paragraph' END AS type, " + S.strip("regexp_replace(regexp_replace(p[i], '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')") + " AS text FROM (SELECT page_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?is)<(?:h1|p|li)[^>]*>[^<]*') AS p FROM pages))",
+    "html_blocks": "SELECT page_id, (i - 1)::INT AS block_ord, CASE lower(split_part(p[i], chr(2), 1)) WHEN 'h1' THEN 'heading' WHEN 'li' THEN 'list' ELSE 'paragraph' END AS type, " + S.strip("regexp_replace(regexp_replace(substr(p[i], strpos(p[i], chr(2)) + 1), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')") + r" AS text FROM (SELECT page_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT page_id, list_filter(string_split(regexp_replace(html, '(?i)<(/?)(h1|p|li)(?:\s[^>]*)?>', chr(1) || '\1\2' || chr(2), 'g'), chr(1))[2:], lambda x: NOT starts_with(x, '/')) AS p FROM pages))",
     "source_files": "SELECT p_partkey, ['docx', 'pdf', 'image', 'pptx', 'unknown', 'image'][1 + p_partkey % 6] AS file_type, (p_size::DOUBLE * [1024.0, 1048576.0, 1073741824.0, 1.0][1 + p_partkey % 4])::BIGINT AS bytes, (p_size::DOUBLE * [1024.0, 1048576.0, 1073741824.0, 1.0][1 + p_partkey % 4])::BIGINT <= 104857600 AS valid FROM part",
 }

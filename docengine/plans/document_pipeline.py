@@ -41,7 +41,7 @@ def run(docs: DataFrame, blocks: DataFrame, level: str | Preset = "standard", te
         out["vectors"] = C.vector_chunks(meta, sections)
         out["chunks"] = C.retrieval_chunks(meta, sections)
     note = F.lit(0.8) if p.annotate else F.lit(None).cast("double")
-    vector = F.lit(0.9) if p.vectorize else F.lit(None).cast("double")
+    vector = F.lit(0.95) if p.vectorize else F.lit(None).cast("double")
     out["quality"] = quality.select("doc_id", F.lit(p.level).alias("level"), V.stage_quality(F.lit(0.95), confidence, note, vector, F.lit(True)).alias("quality"))
     return out
 
