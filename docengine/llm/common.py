@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a narrow key table up to which a side is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 400_000
-#: Bits of a broadcast Bloom filter (2 MB of bits, some 6 MB as a hash table).
-BLOOM_BITS = 1 << 24
+#: Bits of a broadcast Bloom filter (half a MB of bits, some 2 MB as a hash table).
+BLOOM_BITS = 1 << 22
 
 
 def work_dir(spark: SparkSession) -> str:

@@ -283,13 +283,14 @@ class NearDuplicates:
         need = ends
         for made in sets:
             need = need.join(made.select("fp"), "fp", "left_anti")
-        need = materialize(need.join(only_rows(self.nodes.select("fp", "rep"), "fp", need, "fp"), "fp"), "need")
+        need = materialize(need.join(self.nodes.select("fp", "rep"), "fp"), "need")
         sets.append(self._sets(need))
         drop_step(need)
         whole = sets[0]
         for made in sets[1:]:
             whole = whole.union(made)
-        whole = only_rows(whole, "fp", ends, "fp")
+        if len(sets) > 1:  # the first round's sets are all wanted
+            whole = only_rows(whole, "fp", ends, "fp")
         side = lambda s: whole.select(F.col("fp").alias(s), F.col("members").alias(f"set_{s}")).hint("merge")
         ready = near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
         found = materialize(ready.mapInArrow(partial(_confirm, up=self.up, down=self.down), "a binary, b binary"), "links")
