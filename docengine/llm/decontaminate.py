@@ -46,9 +46,9 @@ GROUP_MASKS = 4_000_000
 #: Hits held at a time; a range of places with more is halved.
 HITS = 6_000_000
 #: Longer items, and fewer candidates at a time than this, are verified one by one; characters verified at a time.
-MANY_WORDS, MANY, VERIFIED = 32, 96, 2_000_000
+MANY_WORDS, MANY, VERIFIED = 32, 96, 1_000_000
 #: Candidates cut out of a text at a time, and characters of windows held until they are verified together.
-MOST, HELD = 4096, 8_000_000
+MOST, HELD = 4096, 4_000_000
 SEED, KEY = np.uint64(0x5851F42D4C957F2D), np.int64(-0x61C8864680B583EB)
 BREAK = ord("\n")
 

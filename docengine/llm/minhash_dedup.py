@@ -105,16 +105,16 @@ def _sign(batches: Iterator[pa.RecordBatch], shingle: int, coords: int) -> Itera
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    """Full sets of the texts whose fingerprint is the one asked for."""
+    """Full sets of the texts whose fingerprint is the one asked for, a block of texts at a time."""
     for batch in batches:
-        want, out = batch.column(1).to_pylist(), []
+        want = batch.column(1).to_pylist()
         for a, u, off in _sets(batch, shingle):
+            out = {}
             for i in range(len(off) - 1):
                 own = u[off[i] : off[i + 1]]
                 if _fingerprint(own) == want[a + i]:
-                    out.append((want[a + i], own.tobytes()))
-        out = list(dict(out).items())
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], names=["fp", "members"])
+                    out[want[a + i]] = own.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(list(out.values()), pa.binary())], names=["fp", "members"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], up: int, down: int) -> Iterator[pa.RecordBatch]:
