@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fields as V
@@ -34,30 +34,59 @@ def detect_fields(docs: DataFrame, blocks: DataFrame, items: DataFrame) -> DataF
     return metadata_fields(docs).unionByName(block_fields(blocks)).unionByName(edge_fields(items))
 
 
+def field_scores(text: Column) -> list[Column]:
+    """JN-14 by field names: for each field 0.7 if one of its keywords occurs."""
+    return [F.when(T.has_any(text, w), F.lit(0.7)).otherwise(F.lit(0.0)) for _, w in fixed.FIELD_KEYWORDS]
+
+
+def description_score(text: Column, description: Column) -> Column:
+    """JN-14 by a description: a numbered item that occurs 0.9, detected text whose first 20 characters occur 0.8."""
+    item = T.strip(F.replace(description, F.lit("번호 매겨진 항목: "), F.lit("")))
+    auto = T.strip(F.replace(description, F.lit("자동 감지: "), F.lit("")))
+    return F.when(description.contains("번호 매겨진 항목:"), F.when(F.contains(text, item), F.lit(0.9)).otherwise(F.lit(0.0))).when(description.contains("자동 감지:") & F.contains(text, F.substring(auto, 1, 20)), F.lit(0.8)).otherwise(F.lit(0.0))
+
+
 def match_fields(docs: DataFrame) -> DataFrame:
-    """JN-14 by field names: (doc_id, field_ord, field, confidence): 0.7 if one of the field's keywords occurs."""
-    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("field_ord"), F.lit(n).alias("field"), F.when(T.has_any(F.col("text"), w), F.lit(0.7)).otherwise(F.lit(0.0)).alias("confidence")) for k, (n, w) in enumerate(fixed.FIELD_KEYWORDS)]))
+    """JN-14 by field names: (doc_id, field_ord, field, confidence)."""
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("field_ord"), F.lit(n).alias("field"), c.alias("confidence")) for k, ((n, _), c) in enumerate(zip(fixed.FIELD_KEYWORDS, field_scores(F.col("text")), strict=True))]))
     return docs.select("doc_id", rows.alias("f")).select("doc_id", "f.*")
 
 
 def match_descriptions(fields: DataFrame, docs: DataFrame) -> DataFrame:
-    """JN-14 by descriptions: (doc_id, field_ord, confidence) of (field_ord, description): a numbered item that occurs 0.9, detected text whose first 20 characters occur 0.8."""
-    item = T.strip(F.replace(F.col("description"), F.lit("번호 매겨진 항목: "), F.lit("")))
-    auto = T.strip(F.replace(F.col("description"), F.lit("자동 감지: "), F.lit("")))
-    score = F.when(F.col("description").contains("번호 매겨진 항목:"), F.when(F.contains("text", item), F.lit(0.9)).otherwise(F.lit(0.0))).when(F.col("description").contains("자동 감지:") & F.contains("text", F.substring(auto, 1, 20)), F.lit(0.8)).otherwise(F.lit(0.0))
+    """JN-14 by descriptions: (doc_id, field_ord, confidence) of (field_ord, description)."""
+    score = description_score(F.col("text"), F.col("description"))
     return docs.crossJoin(F.broadcast(fields)).select("doc_id", "field_ord", score.alias("confidence"))  # one row a template field
 
 
-def match_template(matches: DataFrame, docs: DataFrame, headers: list[str], sections: list[str], patterns: list[str]) -> DataFrame:
-    """JN-15 with SC-6: share of fields above 0.5, plus the pattern bonus, one at most."""
-    t = F.col("text")
+def pattern_bonus(t: Column, headers: list[str], sections: list[str], patterns: list[str]) -> Column:
+    """SC-6: 0.3 at most."""
     one = lambda c, w: F.when(c, F.lit(w)).otherwise(F.lit(0.0))
     bonus = sum([one(t.contains(h), 0.1) for h in headers], F.lit(0.0))
     if sections:
         bonus = bonus + sum([one(t.contains(x), 1.0) for x in sections], F.lit(0.0)) / float(len(sections)) * 0.2
-    bonus = F.least(F.lit(0.3), bonus + sum([one(t.rlike(p), 0.1) for p in patterns], F.lit(0.0)))
+    return F.least(F.lit(0.3), bonus + sum([one(t.rlike(p), 0.1) for p in patterns], F.lit(0.0)))
+
+
+def match_template(matches: DataFrame, docs: DataFrame, headers: list[str], sections: list[str], patterns: list[str]) -> DataFrame:
+    """JN-15 with SC-6: share of fields above 0.5, plus the pattern bonus, one at most."""
     share = matches.groupBy("doc_id").agg((F.sum(F.when(F.col("confidence") > 0.5, 1.0).otherwise(0.0)) / F.count("*")).alias("share"))
-    return docs.join(share, "doc_id").select("doc_id", F.least(F.lit(1.0), F.col("share") + bonus).alias("confidence"))
+    return docs.join(share, "doc_id").select("doc_id", F.least(F.lit(1.0), F.col("share") + pattern_bonus(F.col("text"), headers, sections, patterns)).alias("confidence"))
+
+
+def match_best_template(docs: DataFrame, templates: list[tuple[list[Column], list[str], list[str], list[str]]], least: float = 0.3, digits: int = 6) -> DataFrame:
+    """JN-15 and JN-16 in one pass: (doc_id, template_ord, confidence), the first best template of each document, above the threshold.
+
+    A template is its fields' scores over ``text`` and its headers, sections and patterns. Texts are not shuffled, only counts of
+    hits and bonuses; rows of one id share their fields, as in ``match_template``.
+    """
+    parts = []
+    for k, (scores, *rest) in enumerate(templates):
+        hits = sum([F.when(c > 0.5, F.lit(1)).otherwise(F.lit(0)) for c in scores], F.lit(0))
+        parts += [F.sum(hits).alias(f"_hits{k}"), F.max(pattern_bonus(F.col("text"), *rest)).alias(f"_bonus{k}")]
+    sums = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("_n"), *parts)
+    each = [F.struct(F.round(F.least(F.lit(1.0), F.col(f"_hits{k}") / (F.col("_n") * len(scores)) + F.col(f"_bonus{k}")), digits).alias("confidence"), F.lit(-k).alias("ord")) for k, (scores, *_) in enumerate(templates)]
+    best = sums.select("doc_id", F.greatest(*each).alias("b") if len(each) > 1 else each[0].alias("b"))
+    return best.filter(F.col("b.confidence") > least).select("doc_id", (-F.col("b.ord")).alias("template_ord"), "b.confidence")
 
 
 def best_template(scores: DataFrame, least: float = 0.3) -> DataFrame:

@@ -31,10 +31,9 @@ def annotation_descriptions(spark, sf_dir):
 
 
 def annotation_match(spark, sf_dir):
-    d = coded_docs(spark, sf_dir)
-    a = A.match_template(A.match_fields(d), d, HEADERS, SECTIONS, PATTERNS).withColumn("template_ord", F.lit(0))
-    b = A.match_template(_described(spark, sf_dir), d, [], [], PATTERNS).withColumn("template_ord", F.lit(1))
-    return A.best_template(a.unionByName(b).withColumn("confidence", F.round("confidence", 6)), 0.5).select("doc_id", "template_ord", "confidence")
+    t = F.col("text")
+    described = [A.description_score(t, F.lit(d)) for _, d in FIELDS]
+    return A.match_best_template(coded_docs(spark, sf_dir), [(A.field_scores(t), HEADERS, SECTIONS, PATTERNS), (described, [], [], PATTERNS)], 0.5)
 
 
 def field_content(spark, sf_dir):
